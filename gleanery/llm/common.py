@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one vectorised step inside a task looks at together; it bounds a worker's memory.
@@ -41,7 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_CHAR
     """Consecutive rows of ``batches`` whose texts (null: empty) hold about ``limit`` UTF-8 bytes, one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             if i > start and size + n > limit:
