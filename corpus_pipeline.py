@@ -1,10 +1,46 @@
-"""Five stages from raw documents to packed sequences."""
+"""Five stages from raw documents to packed sequences. Each reads what its predecessor kept; run() writes every stage as a table."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from gleanery.llm import common, decontaminate, language_id, ngram_join, packing, secrets
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or between two languages, go."""
+    return language_id.keep_known(docs, language_id.learn(docs))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one with the least doc_id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontaminate.drop_leaked(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; no document goes."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two lengths."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", known_language), ("near_copies", one_of_near_copies), ("benchmark", without_benchmark), ("secrets", without_secrets), ("packing", packed)]
+#: Tokenizers, trained classifiers and edit distances have no SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = common.written(docs, f"stage_{name}")
+    return docs
