@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
-from gleanery.functions.vectors import col
+from gleanery.functions.vectors import col, let
 
 TAGS = "array<struct<label:string,category:string,score:double,source:string>>"
 #: Rank of a tag's source; a missing source counts as prompt.
@@ -38,22 +38,39 @@ def rank(tag: Column) -> Column:
     return out
 
 
+def _named(tags: Column | str) -> Column:
+    return F.filter(F.transform(col(tags), lambda t: t.withField("label", text.label(t["label"]))), lambda t: t["label"] != "")
+
+
+def _labels(tags: Column) -> Column:
+    return F.transform(tags, lambda t: t["label"])
+
+
 def normalize(tags: Column | str) -> Column:
     """Labels in normal form, empty ones dropped, the first of equal labels kept."""
-    named = F.filter(F.transform(col(tags), lambda t: t.withField("label", text.label(t["label"]))), lambda t: t["label"] != "")
-    return F.filter(named, lambda t, i: F.array_position(F.transform(named, lambda x: x["label"]), t["label"]) == i + 1)
+    return let(_named(tags), lambda named: let(_labels(named), lambda labels: F.filter(named, lambda t, i: F.array_position(labels, t["label"]) == i + 1)))
 
 
 def merge_durable(tags: Column | str, cap_auto: int = 6) -> Column:
-    """One tag a label, the best by source rank, then score, then place; user-made tags first and all, then up to ``cap_auto`` others."""
-    named = F.filter(F.transform(col(tags), lambda t: t.withField("label", text.label(t["label"]))), lambda t: t["label"] != "")
-    # A later tag replaces an earlier one that is not worse; the label's place is that of its first tag.
-    keyed = F.transform(named, lambda t, i: F.struct((-rank(t)).alias("rank"), (-t["score"]).alias("score"), (-i).alias("late"), F.array_position(F.transform(named, lambda x: x["label"]), t["label"]).alias("place"), t.alias("tag")))
-    best = F.filter(keyed, lambda k: ~F.exists(keyed, lambda o: (o["tag"]["label"] == k["tag"]["label"]) & (F.struct(o["rank"], o["score"], o["late"]) < F.struct(k["rank"], k["score"], k["late"]))))
-    ordered = F.array_sort(F.transform(best, lambda k: F.struct(k["rank"], k["score"], k["place"], k["tag"])))
-    durable = F.filter(ordered, lambda k: F.coalesce(k["tag"]["source"].isin(*DURABLE), F.lit(False)))
-    auto = F.filter(ordered, lambda k: ~F.coalesce(k["tag"]["source"].isin(*DURABLE), F.lit(False)))
-    return F.transform(F.concat(durable, F.slice(auto, 1, cap_auto)), lambda k: k["tag"])
+    """One tag a label, the best by source rank, then score, then the later; user-made tags first and all, then up to ``cap_auto`` others.
+
+    Tags sort once by label and merit, so the first of each label is a tag whose neighbour before has another label. A label's place is that of its first tag.
+    """
+
+    def by_label(named: Column) -> Column:
+        entry = lambda labels: F.transform(named, lambda t, i: F.struct(t["label"].alias("label"), (-rank(t)).alias("rank"), (-t["score"]).alias("score"), (-i).alias("late"), F.array_position(labels, t["label"]).alias("place"), t.alias("tag")))
+        return F.array_sort(let(_labels(named), entry))
+
+    def best(ordered: Column) -> Column:
+        first = F.filter(ordered, lambda k, i: (i == 0) | (F.get(ordered, i - 1)["label"] != k["label"]))
+        durable = lambda k: F.coalesce(k["tag"]["source"].isin(*DURABLE), F.lit(False))
+        return F.array_sort(F.transform(first, lambda k: F.struct((~durable(k)).alias("auto"), k["rank"], k["score"], k["place"], k["tag"])))
+
+    def capped(kept: Column) -> Column:
+        durable = F.size(F.filter(kept, lambda k: ~k["auto"]))
+        return F.transform(F.slice(kept, 1, durable + cap_auto), lambda k: k["tag"])
+
+    return let(_named(tags), lambda named: let(by_label(named), lambda ordered: let(best(ordered), capped)))
 
 
 def with_tag(tags: Column | str, name: Column | str, category: str, source: str, score: float = 1.0, cap_auto: int = 6) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, even where ``use`` names it inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def doubles(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 

@@ -101,7 +101,7 @@ def tagging(cases: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def agreement(items: DataFrame) -> DataFrame:
     """label, asserted, agreed: how often a label the user asserted (source manual) is also in the caption or another tag of the item."""
-    own = items.select("id", "caption", "tags", F.explode(F.filter("tags", lambda t: t["source"] == "manual")).alias("a"))
+    own = items.select("caption", "tags", F.explode(F.filter("tags", lambda t: t["source"] == "manual")).alias("a"))
     label = F.lower("a.label")
     other = F.exists("tags", lambda t: (F.coalesce(t["source"], F.lit("")) != "manual") & F.contains(F.lower(t["label"]), label))
     said = F.contains(F.lower(F.coalesce("caption", F.lit(""))), label)

@@ -1,6 +1,9 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, gathered from the modules beside this one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from gleanery.plans import evaluation, lifecycle, mining, retrieval, tagging, timeline
+from gleanery.plans.register import ORACLE_SQL, QUERIES
+
+MODULES = (retrieval, tagging, evaluation, lifecycle, mining, timeline)
+__all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]
