@@ -22,11 +22,16 @@ def components(edges: DataFrame) -> DataFrame:
         parents = common.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), "parents")
         rounds.append(parents)
         hop = pairs.join(parents.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a").join(parents.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b")
+        last = pairs
         pairs = common.written(hop.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+        common.discard(last)
+    common.discard(pairs)
     if not rounds:
         return edges.sparkSession.createDataFrame([], "node long, root long")
     found = rounds[-1]
     for parents in rounds[-2::-1]:
         above = found.select(F.col("node").alias("root"), F.col("root").alias("_up"))
         found = parents.join(above, "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
-    return common.written(found, "components")
+    out = common.written(found, "components")
+    common.discard(*rounds)
+    return out

@@ -8,10 +8,11 @@ Exact throughout: every pair of different texts whose shingle sets have ``100 *
    where a partner may be there. Shingles that a bounded sample shows to be common are left out first, which can only lower the
    difference; a set that keeps too few filled parts also emits parts of all its shingles, and if these are too few, the single shingles of its prefix
    (n - ceil(percent n) + 1 least hashes).
-3. Sets that share keys form candidate groups (connected components of stars, linear in the keys).
-4. Signature trees. A group's sets are dealt into blocks; each pair of blocks is a task. It builds a tree per block whose nodes hold OR-combined token bitmaps, size ranges and the
-   most tokens that share a bit, and walks both trees at once: a pair of nodes goes when the sizes can't link, when common bits plus shared-bit tokens are below the least overlap, or when all
-   below is connected already. Leaves count true intersections.
+3. Signature trees. The sets that share a key form a tree whose nodes hold OR-combined token bitmaps, size ranges and the most tokens that share a bit. Two nodes are walked at
+   once: a pair goes when the sizes can't link, when common bits plus shared-bit tokens are below the least overlap, or when all below is connected already. A key or group of
+   many sets is dealt into blocks, and each pair of blocks is walked on its own. First trees over the sets of each key, with bitmaps alone, give edges that span what
+   is possible; their connected components are the candidate groups.
+4. Then trees over each group's sets, with true intersections at the leaves, give links.
 5. Links found are joined into components; a component's id is its least doc_id.
 
 Sets and nodes are known by 64-bit hashes. Null and empty texts have no shingles and are linked with nothing; a repeated row is a document of its own, equal to its copy. A null doc_id
@@ -20,7 +21,7 @@ shares the component of documents with an equal set that have one, and else has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -35,7 +36,9 @@ WORDS, PERCENT = 4, 85
 #: Common shingles are looked for in this many documents; those in at least COMMON of them are left out of the first keys.
 SAMPLE, COMMON = 4000, 8
 #: Sets in a block of a signature tree, sets in a leaf, children of a node.
-BLOCK, LEAF, FANOUT = 4096, 32, 8
+BLOCK, LEAF, FANOUT = 2048, 32, 8
+#: Bits of the widest token bitmap.
+LARGEST_MAP = 1 << 16
 #: Up to so many candidate classes their ids are broadcast to pick texts; beyond, texts meet them in a shuffled join.
 BROADCAST_IDS = 500_000
 
@@ -112,7 +115,7 @@ def set_hash(tokens: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (hashes of the set) and keys: a row for each document."""
+    """doc_id, n_shingles, set_a and set_b (hashes of the set), map (its token bitmap) and keys: a row for each document."""
     stop = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,26 +126,39 @@ def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
             sizes = np.array([len(s) for s in sets], np.int64)
             ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(b.view(np.int64)), listed], ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(b.view(np.int64)), pa.array([token_map(x, bits_of(len(x))).tobytes() for x in sets], pa.binary()), listed], ["doc_id", "n_shingles", "set_a", "set_b", "map", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n_shingles long, set_a long, set_b long, map binary, keys array<long>")
+
+
+def bits_of(n: int) -> int:
+    """Bits of the token bitmap of a set of ``n``."""
+    return min(LARGEST_MAP, max(256, 1 << (2 * n - 1).bit_length()))
+
+
+def token_map(tokens: np.ndarray, bits: int) -> np.ndarray:
+    flags = np.zeros(bits, bool)
+    flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def folded(token_map: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of more bytes as one of ``size`` bytes: a token's bit is its hash modulo the bits, so halves are combined."""
+    while len(token_map) > size:
+        half = len(token_map) // 2
+        token_map = token_map[:half] | token_map[half:]
+    return token_map
 
 
 class Tree:
-    """Signature tree over sets (sorted hash arrays): levels of nodes from leaves up."""
+    """Signature tree over sets, given by bitmaps (rows of bytes, all of one width) and sizes: levels of nodes from leaves up."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        sizes = np.array([len(s) for s in sets])
-        order = sorted(range(len(sets)), key=lambda i: (int(np.log(max(1, sizes[i])) * 6), int(sets[i][0]) if len(sets[i]) else 0))
-        self.order = np.array(order)
-        self.sets = [sets[i] for i in order]
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, tie: np.ndarray):
+        self.order = np.lexsort((tie, (np.log(np.maximum(1, sizes)) * 6).astype(int)))
+        self.maps = np.ascontiguousarray(maps[self.order]).view(np.uint64)
         self.sizes = sizes[self.order]
-        flags = np.zeros((len(sets), bits), bool)
-        for row, s in zip(flags, self.sets):
-            row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-        self.maps = np.packbits(flags, axis=1).view(np.uint64)
         self.slack = self.sizes - np.bitwise_count(self.maps).sum(1).astype(np.int64)
-        self.levels = [self.group(self.maps, self.sizes, self.sizes, self.slack, LEAF, np.arange(len(sets) + 1))]
+        self.levels = [self.group(self.maps, self.sizes, self.sizes, self.slack, LEAF, np.arange(len(sizes) + 1))]
         while len(self.levels[-1]["low"]) > 1:
             below = self.levels[-1]
             self.levels.append(self.group(below["maps"], below["low"], below["high"], below["slack"], FANOUT, below["rows"]))
@@ -153,15 +169,15 @@ class Tree:
         return {"maps": np.bitwise_or.reduceat(maps, at, axis=0), "low": np.minimum.reduceat(low, at), "high": np.maximum.reduceat(high, at), "slack": np.maximum.reduceat(slack, at), "rows": np.append(rows[at], rows[-1])}
 
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (numbers in left + right) that connect all that is connected by links between left and right, or within left alone."""
-    every = left + (right or [])
-    longest = max((len(s) for s in every), default=1)
-    bits = min(8192, max(256, 1 << (2 * longest - 1).bit_length()))
-    one = Tree(left, bits)
-    two = Tree(right, bits) if right is not None else one
-    shift = len(left) if right is not None else 0
-    root = np.arange(len(every))
+def connect(one: Tree, two: Tree | None, linked: Callable[[int, int, int], bool], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect all that links between two trees, or within one, connect.
+
+    ``linked(i, j, least)`` decides on pairs that the bitmaps leave (numbers of sets; those of the second tree come after the first's), given their least overlap.
+    """
+    within = two is None
+    two = one if within else two
+    shift = 0 if within else len(one.sizes)
+    root = np.arange(shift + len(two.sizes))
     row_a, row_b = one.order, two.order + shift
     links: list[tuple[int, int]] = []
     stack = [(len(one.levels) - 1, 0, len(two.levels) - 1, 0)]
@@ -177,52 +193,131 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
         roots_a, roots_b = root[row_a[ra]], root[row_b[rb]]
         if roots_a[0] == roots_b[0] and (roots_a == roots_a[0]).all() and (roots_b == roots_b[0]).all():
             continue
-        same = right is None and la == lb and a == b
+        same = within and la == lb and a == b
         if la or lb:
             wide_a = range(a * FANOUT, min((a + 1) * FANOUT, len(one.levels[la - 1]["low"]))) if la else [a]
             wide_b = range(b * FANOUT, min((b + 1) * FANOUT, len(two.levels[lb - 1]["low"]))) if lb else [b]
             below = [(max(0, la - 1), x, max(0, lb - 1), y) for x in wide_a for y in wide_b if not same or x <= y]
             stack += sorted(below, key=lambda p: p[1] == p[3])  # equal numbers last, so they come first
             continue
-        overlap = np.bitwise_count(one.maps[ra][:, None, :] & two.maps[rb][None, :, :]).sum(-1) + np.minimum(one.slack[ra][:, None], two.slack[rb][None, :])
+        overlap = np.bitwise_count(one.maps[ra][:, None, :] & two.maps[rb][None, :, :]).sum(-1, dtype=np.int64) + np.minimum(one.slack[ra][:, None], two.slack[rb][None, :])
         least = -(-percent * (one.sizes[ra][:, None] + two.sizes[rb][None, :]) // (100 + percent))
         for x, y in zip(*np.nonzero((overlap >= least) & (roots_a[:, None] != roots_b[None, :]))):
-            i, j = row_a[ra.start + x], row_b[rb.start + y]
-            if root[i] == root[j] or (same and x >= y):
-                continue
-            s, t = one.sets[ra.start + x], two.sets[rb.start + y]
-            if len(np.intersect1d(s, t, assume_unique=True)) >= least[x, y]:
+            i, j = int(row_a[ra.start + x]), int(row_b[rb.start + y])
+            if root[i] != root[j] and not (same and x >= y) and linked(i, j, int(least[x, y])):
                 root[root == root[j]] = root[i]
-                links.append((int(i), int(j)))
+                links.append((i, j))
     return links
 
 
-def _link_groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) within rows of one (root, one, two); side 0 meets side 1, or itself where one = two."""
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (numbers in left + right) that connect all that true links between left and right, or within left alone, connect."""
+    every = left + (right or [])
+    bits = bits_of(max((len(s) for s in every), default=1))
+
+    def tree(sets: list[np.ndarray]) -> Tree:
+        return Tree(np.array([token_map(s, bits) for s in sets]), np.array([len(s) for s in sets]), np.array([s[0] if len(s) else 0 for s in sets], np.uint64))
+
+    return connect(tree(left), None if right is None else tree(right), lambda i, j, least: len(np.intersect1d(every[i], every[j], assume_unique=True)) >= least, percent)
+
+
+def possible_pairs(sizes: list[list[int]], maps: list[list[bytes]], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """The same for sets known by their sizes and bitmaps alone: pairs count as linked when the bitmaps allow it. One or two sides."""
+    width = min(len(m) for side in maps for m in side)
+    n = [np.array(s) for s in sizes]
+    own = [np.array([folded(np.frombuffer(m, np.uint8), width) for m in side]) for side in maps]
+    trees = [Tree(m, s, np.ascontiguousarray(m[:, :8]).view(np.uint64)[:, 0]) for m, s in zip(own, n)]
+    return connect(trees[0], trees[1] if len(trees) > 1 else None, lambda i, j, least: True, percent)
+
+
+def _pair_possible(n: int, one: bytes, m: int, two: bytes, percent: int) -> bool:
+    """possible_pairs for two sets, which most buckets are."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    if len(one) != len(two):
+        width = min(len(one), len(two))
+        one, two = (folded(np.frombuffer(x, np.uint8), width).tobytes() for x in (one, two))
+    a, b = int.from_bytes(one, "little"), int.from_bytes(two, "little")
+    return (a & b).bit_count() + min(n - a.bit_count(), m - b.bit_count()) >= least_overlap(n, m, percent)
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``blocks``, the number of blocks of their key, and ``node``) once for each pair of blocks that their block is in: one, two, side.
+
+    A key of up to BLOCK rows is one block and its rows stay single.
+    """
+    own = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two"), (F.col("block") > k).cast("int").alias("side"))))
+    spread = own.withColumn("_p", pairs).withColumns({"one": F.col("_p.one"), "two": F.col("_p.two"), "side": F.col("_p.side")}).drop("_p", "block", "blocks")
+    return spread.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[bool, list[list[tuple]]]]:
+    """Whether a group of equal (key, one, two) is within one block, and its two sides' rows. Only one group is held."""
+    each = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(width))))
+    for (_, one, two), members in groupby(each, key=lambda r: r[:3]):
+        sides: list[list[tuple]] = [[], []]
+        for row in members:
+            sides[row[3]].append(row[4:])
+        yield one == two, sides
+
+
+def _edges(pairs: Iterator[tuple[int, int]], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    found: set[tuple[int, int]] = set()
+    for pair in pairs:
+        found.add(pair)
+        if len(found) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            found = set()
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def candidate_groups(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root): groups of classes that hold every link, from the keys they share and what their bitmaps allow.
+
+    Keys held by one class go before anything else moves; the others' rows get their sizes and bitmaps, and a signature tree for each key (or pair of
+    blocks of it) gives edges that span what is possible.
+    """
+    key = Window.partitionBy("key")
+    keyed = classes.select(F.col("set_a").alias("node"), F.explode("keys").alias("key"))
+    shared = keyed.withColumn("_n", F.count("*").over(key)).filter("_n > 1").select("key", "node", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    known = classes.select(F.col("set_a").alias("node"), F.col("n_shingles").cast("int").alias("n"), "map")
+    rows = _blocks(shared.join(known, "node"), "key").select("key", "one", "two", "side", "node", "n", "map")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[int, int]]:
+            for within, (left, right) in _grouped(batches, 7):
+                if within and len(left) == 2:
+                    (a, n, one), (b, m, two) = left
+                    if _pair_possible(n, one, m, two, percent):
+                        yield (a, b) if a < b else (b, a)
+                elif len(left) > 1 if within else left and right:
+                    sides = [left] if within else [left, right]
+                    nodes = [r[0] for side in sides for r in side]
+                    for i, j in possible_pairs([[r[1] for r in side] for side in sides], [[r[2] for r in side] for side in sides], percent):
+                        yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+
+        return _edges(pairs())
+
+    return components.components(rows.mapInArrow(walk, "a long, b long"))
+
+
+def true_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within each group of rows (root, one, two, side, node, text)."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(6))))
-        a: list[int] = []
-        b: list[int] = []
-        for (_, one, two), members in groupby(each, key=lambda r: r[:3]):
-            sides: tuple[list, list] = ([], [])
-            texts: tuple[list, list] = ([], [])
-            for _, _, _, side, node, text in members:
-                sides[side].append(node)
-                texts[side].append(text)
-            # A doc_id may stand for several texts; only the one with the node's set is the node.
-            own = [[(n, s) for n, s in zip(sides[k], textvec.shingle_sets(texts[k], words)) if set_hash(s) == n] for k in (0, 1)]
-            left, right = [s for _, s in own[0]], [s for _, s in own[1]] if one != two else None
-            if not left or right == []:
-                continue
-            nodes = [n for side in own for n, _ in side]
-            for i, j in linked_pairs(left, right, percent):
-                a.append(nodes[i])
-                b.append(nodes[j])
-            if len(a) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def pairs() -> Iterator[tuple[int, int]]:
+            for within, sides in _grouped(batches, 6):
+                # A doc_id may stand for several texts; only the one with the node's set is the node.
+                own = [[(node, s) for (node, _), s in zip(side, textvec.shingle_sets([r[1] for r in side], words)) if set_hash(s) == node] for side in sides]
+                left, right = [s for _, s in own[0]], [s for _, s in own[1]]
+                if not left or not (within or right):
+                    continue
+                nodes = [n for side in own for n, _ in side]
+                for i, j in linked_pairs(left, None if within else right, percent):
+                    yield nodes[i], nodes[j]
+
+        return _edges(pairs())
 
     return rows.mapInArrow(walk, "a long, b long")
 
@@ -230,27 +325,28 @@ def _link_groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and set_a (equal for documents with equal sets): a row for each document."""
     sets = common.written(document_sets(docs, words, percent), "sets")
-    classes = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).filter("rep is not null")
+    classes = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map"), F.first("keys").alias("keys")).filter("rep is not null")
     classes = common.written(classes, "classes")
-    keyed = classes.select(F.col("set_a").alias("node"), F.explode("keys").alias("key"))
-    hub = keyed.withColumn("hub", F.min("node").over(Window.partitionBy("key")))
-    groups = components.components(hub.filter("hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    named = common.written(sets.drop("keys", "map", "set_b"), "named")
+    common.discard(sets)
+    groups = candidate_groups(classes, percent)
+    reps = common.written(classes.select(F.col("set_a").alias("node"), "rep"), "reps")
+    common.discard(classes)
 
-    # Blocks of each group, and texts of the groups' classes.
+    # Texts of the groups' classes meet again in blocks of their group.
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = groups.join(blocks, "root").join(classes.select(F.col("set_a").alias("node"), "rep"), "node")
-    members = common.written(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    members = common.written(groups.join(blocks, "root").join(reps, "node"), "members")
+    common.discard(groups)
     wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    text = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two"), (F.col("block") > k).cast("int").alias("side"))))
-    rows = text.select("root", "node", "text", pairs.alias("p")).select("root", "p.one", "p.two", "p.side", "node", "text")
-    rows = rows.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two")
-    joined = components.components(_link_groups(rows, words, percent))
+    text = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("root", "node", "blocks", "text")
+    rows = _blocks(text, "root").select("root", "one", "two", "side", "node", "text")
+    joined = components.components(true_links(rows, words, percent))
 
-    own = classes.select(F.col("set_a").alias("node"), "rep").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    common.discard(members)
+    own = reps.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("rep").alias("component"))
-    named = own.join(least, "root").select(F.col("node").alias("set_a"), "component")
-    return sets.drop("keys", "set_b").join(named, "set_a", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "set_a")
+    component = own.join(least, "root").select(F.col("node").alias("set_a"), "component")
+    return named.join(component, "set_a", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "set_a")
 
 
 def op7_ngram_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
