@@ -9,26 +9,31 @@ from gleanery.llm import common, decontaminate, language_id, ngram_join, packing
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or between two languages, go."""
+    common.small_batches(spark)
     return language_id.keep_known(docs, language_id.learn(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the least doc_id stays."""
+    common.small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
+    common.small_batches(spark)
     return decontaminate.drop_leaked(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; no document goes."""
+    common.small_batches(spark)
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths."""
+    common.small_batches(spark)
     return packing.pack(docs)
 
 

@@ -10,10 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one vectorised step inside a task looks at together; it bounds a worker's memory.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
+#: Rows of an Arrow batch, where the session leaves Spark's default.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts with fewer rows than Spark's default of 10,000; another setting of the user's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,7 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: it cuts the lineage and survives lost executors."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no DataFrame still to be run reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

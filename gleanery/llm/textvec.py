@@ -11,7 +11,7 @@ from functools import cache as memo
 import numpy as np
 
 #: A text longer than this many bytes is hashed in stretches cut at blanks.
-STRETCH = 4_000_000
+STRETCH = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that part words: space, and 9 to 13.
