@@ -81,11 +81,17 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[begin - 1] = True
     at = np.cumsum(keep) - keep
     starts = at[begin - 1]
-    own = own[keep].astype(np.uint64)
-    h = own[:-2] * np.uint64(0x9E3779B1) ^ own[1:-1] * np.uint64(0x85EBCA77C2B2AE63) ^ own[2:] * np.uint64(0x27D4EB2F165667C5) if len(own) > 2 else np.zeros(0, np.uint64)
-    h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
+    own = own[keep].astype(np.uint64)[: starts[-1]]
+    if len(own) < 3:
+        h, counts = np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    else:
+        h = own[:-2] * np.uint64(0x9E3779B1) ^ own[1:-1] * np.uint64(0x85EBCA77C2B2AE63) ^ own[2:] * np.uint64(0x27D4EB2F165667C5)
+        inside = np.arange(2, len(own)) < np.repeat(starts[1:], np.diff(starts))[:-2]  # the last is of the same text
+        h = (h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
+        counts = np.maximum(0, np.diff(starts) - 2)
+    places = np.concatenate([[0], np.cumsum(counts)])
     some = np.diff(np.concatenate([[0], np.cumsum(letter)])[np.append(begin[:-1], begin[-1])]) > 0
-    return h.astype(np.int64), np.minimum(starts, len(h)), some
+    return h.astype(np.int64), places, some
 
 
 @dataclass
@@ -133,7 +139,7 @@ def learn(docs: DataFrame) -> Model:
             langs = np.array(part.column(1).to_pylist(), dtype=object)
             of = np.repeat(langs, np.diff(at))
             for lang in sorted(set(langs)):
-                own = np.bincount(gram[: len(of)][of == lang], minlength=DIMENSIONS)
+                own = np.bincount(gram[of == lang], minlength=DIMENSIONS)
                 totals[lang] = totals.get(lang, 0) + own
         for lang, n in totals.items():
             some = np.flatnonzero(n)
