@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import tags as T
+from gleanery.operators import ranking
 
 #: Edges of the calibration bins, tolerance of the gates.
 EDGES = (0.1, 0.25, 0.4, 0.6, 0.8, 1.01)
@@ -41,12 +42,11 @@ def aspects(ranked: DataFrame) -> DataFrame:
 def auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve from (score, correct), ties counted half; null if one side is empty.
 
-    Counts per distinct score come first, so the ordered window holds one row a score and not one a case.
+    Counts per distinct score come first; they are then added up over ranges of scores.
     """
     by = by or []
     tied = scores.groupBy(*by, "score").agg(F.count_if(F.col("correct")).alias("p"), F.count_if(~F.col("correct")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = tied.withColumn("_below", below)
+    parts = ranking.running_total(tied, by, [F.asc("score")], F.col("n"), "_below")
     area = F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))
     return parts.groupBy(*by).agg(area.alias("auc")) if by else parts.agg(area.alias("auc"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import tags as T
 from gleanery.functions import text, vectors
 from gleanery.functions.vectors import col
+from gleanery.operators import ranking
 
 #: Weights of lexical hits, of all terms hit, of expanded terms; of tag hits and all tag hits; of fused lists.
 LEXICAL, ALL_TERMS, EXPANDED, EXPANDED_FULL = 0.35, 0.6, 0.22, 2
@@ -57,10 +58,11 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return lists.groupBy("id").agg(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))).alias("rrf_score"), seen)
 
 
-def ranked(df: DataFrame, order: list[Column], limit: int | None = None, out: str = "rank") -> DataFrame:
-    """The first ``limit`` rows (all if None) with their 1-based rank."""
-    top = df.orderBy(*order) if limit is None else df.orderBy(*order).limit(limit)
-    return top.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+def ranked(df: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
+    """The first ``limit`` rows (all if None) with their 1-based rank. Only what is cut to a limit is numbered by one task."""
+    if limit is None:
+        return ranking.ranked(df, [], order)
+    return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def search(items: DataFrame, query_vector: list[float] | None, query: str, *, limit: int = 40, kind: str | None = None, expanded: list[str] | None = None, lexical: str = "scan") -> DataFrame:
@@ -84,8 +86,9 @@ def search(items: DataFrame, query_vector: list[float] | None, query: str, *, li
     if not plain:
         top = ranked(scored.select("id", "modified_at", "hybrid_score"), order, limit)
         return top.select("id", "hybrid_score", (F.lit(DENSE_WEIGHT) / (F.lit(RRF_K) + F.col("rank"))).alias("rrf_score"), "rank")
-    lexical_list = bm25(chosen, ["search_text"], [1.0], exact + (expanded or [])).select("id", F.lit(1).alias("list"), F.row_number().over(Window.orderBy(F.desc("bm25"), "id")).alias("rank"), F.lit(LEXICAL_WEIGHT).alias("weight"))
-    dense_list = scored.select("id", F.lit(0).alias("list"), F.row_number().over(Window.orderBy(*order)).alias("rank"), F.lit(DENSE_WEIGHT).alias("weight"))
+    hits = bm25(chosen, ["search_text"], [1.0], exact + (expanded or []))
+    lexical_list = ranking.ranked(hits, [], [F.desc("bm25"), F.asc("id")]).select("id", F.lit(1).alias("list"), "rank", F.lit(LEXICAL_WEIGHT).alias("weight"))
+    dense_list = ranking.ranked(scored.drop("search_text"), [], order).select("id", F.lit(0).alias("list"), "rank", F.lit(DENSE_WEIGHT).alias("weight"))
     fused = fuse(dense_list.unionByName(lexical_list)).join(scored.drop("search_text"), "id")
     return ranked(fused, [F.desc("rrf_score"), *order], limit).select("id", "hybrid_score", "rrf_score", "rank")
 
@@ -139,4 +142,4 @@ def rank_for_eval(items: DataFrame, queries: DataFrame, dense_only: bool = False
     pairs = items.join(F.broadcast(queries), F.lit(True))
     score = vectors.hybrid_score("query_vec", "image", "caption") + (F.lit(0.0) if dense_only else term_score("search_text", "terms"))
     scored = pairs.select("query", "id", score.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    return ranking.ranked(scored, ["query"], [F.desc("score"), F.asc("id")])

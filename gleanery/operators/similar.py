@@ -62,9 +62,12 @@ def similarity_pairs(items: DataFrame, threshold: float, block: int = BLOCK) ->
             yield out()
 
     made = tables.written(packed.mapInArrow(pack, "block long, ids array<long>, flat array<double>, centre array<double>, radius double"), "blocks")
-    one, two = made.select(*[F.col(c).alias(f"{c}_a") for c in made.columns]), made.select(*[F.col(c).alias(f"{c}_b") for c in made.columns])
+    about = lambda side: made.select(*[F.col(c).alias(f"{c}_{side}") for c in ("block", "centre", "radius")])
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vectors.dot("centre_a", "centre_b")))) - F.col("radius_a") - F.col("radius_b")
-    met = one.join(two, (F.col("block_a") <= F.col("block_b")) & (apart <= float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9))
+    # Blocks are told apart by their centres alone; only pairs that remain fetch their vectors.
+    near = about("a").join(about("b"), (F.col("block_a") <= F.col("block_b")) & (apart <= float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9)).select("block_a", "block_b")
+    full = lambda side: made.select(*[F.col(c).alias(f"{c}_{side}") for c in ("block", "ids", "flat")])
+    met = near.join(full("a"), "block_a").join(full("b"), "block_b")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text, vectors
-from gleanery.operators import search, similar
+from gleanery.operators import ranking, search, similar
 from gleanery.plans import bindings as B
 from gleanery.plans.register import query
 from gleanery.sources.tables import table
@@ -99,11 +99,9 @@ lex AS (SELECT id, row_number() OVER (ORDER BY modified_at DESC, id) AS rank FRO
 SELECT id, round(sum(w / (60 + rank)), 9) AS rrf_score FROM (SELECT id, rank, 1.0 AS w FROM dense UNION ALL SELECT id, rank, 2.0 FROM lex) GROUP BY id""")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Two ranked lists of the whole library fused: by vector, and of the items with a word by size."""
-    from pyspark.sql import Window
-
     rows = B.items(spark, d).select("id", "modified_at", vectors.dot("embedding", _literal(B.query_vector(spark, d))).alias("s"), F.contains("search_text", F.lit("the")).alias("hit"))
-    dense = rows.select("id", F.lit(0).alias("list"), F.row_number().over(Window.orderBy(F.desc("s"), "id")).alias("rank"), F.lit(1.0).alias("weight"))
-    lex = rows.filter("hit").select("id", F.lit(1).alias("list"), F.row_number().over(Window.orderBy(F.desc("modified_at"), "id")).alias("rank"), F.lit(2.0).alias("weight"))
+    dense = ranking.ranked(rows.select("id", "s"), [], [F.desc("s"), F.asc("id")]).select("id", F.lit(0).alias("list"), "rank", F.lit(1.0).alias("weight"))
+    lex = ranking.ranked(rows.filter("hit").select("id", "modified_at"), [], [F.desc("modified_at"), F.asc("id")]).select("id", F.lit(1).alias("list"), "rank", F.lit(2.0).alias("weight"))
     return search.fuse(dense.unionByName(lex)).select("id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
