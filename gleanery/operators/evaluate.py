@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import tags as T
+from gleanery.functions import vectors
 from gleanery.operators import ranking
 
 #: Edges of the calibration bins, tolerance of the gates.
@@ -106,3 +107,38 @@ def agreement(items: DataFrame) -> DataFrame:
     other = F.exists("tags", lambda t: (F.coalesce(t["source"], F.lit("")) != "manual") & F.contains(F.lower(t["label"]), label))
     said = F.contains(F.lower(F.coalesce("caption", F.lit(""))), label)
     return own.groupBy(label.alias("label")).agg(F.count("*").alias("asserted"), F.count_if(other | said).alias("agreed"))
+
+
+def predictions(images: DataFrame, labels: DataFrame, anchors: list[list[float]], rule: str = "margin", top: int = 3, least: float = 0.13, temperature: float = 50.0) -> DataFrame:
+    """id, predictions (label, score, correct; best first) by the margin rule, or by a softmax over labels and anchors that keeps labels above every anchor.
+
+    ``images``: id, vector, truth (terms). ``labels`` (label, terms, vector) is a vocabulary of bounded size, broadcast.
+    """
+    listed = F.array(*[F.array(*[F.lit(float(x)) for x in a]) for a in anchors]) if anchors else F.array().cast("array<array<double>>")
+    near = F.transform(listed, lambda a: vectors.dot("vector", a))
+    pairs = images.withColumn("_a", near).join(F.broadcast(labels.select("label", "terms", F.col("vector").alias("_v"))), F.lit(True))
+    cosine = vectors.dot("vector", "_v")
+    scored = pairs.select("id", "label", cosine.alias("_c"), "_a", word_overlap_any("terms", "truth").alias("correct"))
+    if rule == "margin":
+        margin = F.col("_c") - F.when(F.size("_a") > 0, 0.5 * F.array_max("_a")).otherwise(0.0)
+        kept = scored.withColumn("_m", margin).filter(F.col("_m") >= least).withColumn("score", T.confidence("_m"))
+        order = F.col("_m")
+    else:
+        sums = scored.groupBy("id").agg(F.max("_c").alias("_top"), F.first("_a").alias("_an"))
+        best = F.greatest("_top", F.coalesce(F.array_max("_an"), F.lit(-2.0)))
+        parts = scored.join(sums.withColumn("_best", best).select("id", "_best"), "id")
+        own = F.exp(temperature * (F.col("_c") - F.col("_best")))
+        others = F.aggregate(F.transform("_a", lambda a: F.exp(temperature * (a - F.col("_best")))), F.lit(0.0), lambda s, x: s + x)
+        total = F.sum(own).over(Window.partitionBy("id")) + others
+        kept = parts.withColumn("score", own / total).filter(F.col("_c") > F.coalesce(F.array_max("_a"), F.lit(-2.0)))
+        order = F.col("score")
+    placed = kept.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(order.desc(), "label"))).filter(F.col("_r") <= top)
+    found = placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "label", "score", "correct"))), lambda p: F.struct(p["label"].alias("label"), p["score"].alias("score"), p["correct"].alias("correct"))).alias("predictions"))
+    none = F.array().cast(found.schema["predictions"].dataType)
+    return images.select("id").join(found, "id", "left").select("id", F.coalesce("predictions", none).alias("predictions"))
+
+
+def word_overlap_any(a: str, b: str) -> Column:
+    """True if two lists of terms share a word."""
+    parts = lambda c: F.flatten(F.transform(F.col(c), lambda t: F.filter(F.split(F.lower(t), "[^a-z0-9]+"), lambda w: w != "")))
+    return F.arrays_overlap(parts(a), parts(b))
