@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions import hashing
-from gleanery.operators import merge, paging
+from gleanery.functions import hashing, records
+from gleanery.operators import merge, paging, rollups
 from gleanery.plans.register import query
 from gleanery.sources import files, mirror
 from gleanery.sources.tables import table
@@ -118,3 +118,43 @@ def mirror_digest(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hash FROM part")
 def text_hash31(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", hashing.text_hash31("p_name").alias("hash"))
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, list_transform(string_split(sha1(doc_id::VARCHAR), ''), lambda h: strpos('0123456789abcdef', h) - 1) AS x FROM documents) WHERE x[40] % 4 = 0 AND list_sum(x) % 5 = 0""")
+def held_out_split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id").filter(records.held_out(F.col("doc_id").cast("string")))
+
+
+@query("SELECT source AS pack, count(DISTINCT lang) AS labels, count(*) AS examples FROM documents GROUP BY source")
+def pack_rollup(spark: SparkSession, d: str) -> DataFrame:
+    examples = table(spark, d, "documents").select(F.col("lang").alias("label"), F.col("source").alias("pack"), F.lit("pack").alias("origin"))
+    return rollups.packs(examples)
+
+
+@query("""WITH t AS (SELECT d.lang AS label, count(*) FILTER (WHERE quality = 1) AS positives, count(*) FILTER (WHERE quality = 0) AS negatives, bool_or(toxic = 1) AS from_self, bool_or(toxic = 0) AS from_pack FROM labels JOIN documents d USING (doc_id) GROUP BY d.lang)
+SELECT t.*, (SELECT count(*) FROM documents d WHERE d.lang = t.label) AS tagged FROM t""")
+def taught_labels(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    examples = table(spark, d, "labels").join(docs, "doc_id").select(F.col("lang").alias("label"), (F.col("quality") == 1).alias("is_positive"), F.when(F.col("toxic") == 1, "self").otherwise("pack").alias("origin"), F.lit("").alias("pack"))
+    items = docs.select(F.col("doc_id").alias("id"), F.array(F.struct(F.col("lang").alias("label"))).alias("tags"))
+    return rollups.taught_labels(examples, items).drop("packs")
+
+
+@query("SELECT user_id, max_by(props, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def settings_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Key and value, last writer wins."""
+    return merge.keep_latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", F.col("props").alias("value"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS id, c_acctbal FROM customer), b AS (SELECT o_custkey AS id, max(o_totalprice) AS c_acctbal FROM orders GROUP BY o_custkey)
+SELECT a.id, coalesce(b.c_acctbal, a.c_acctbal) AS c_acctbal FROM a LEFT JOIN b USING (id)""")
+def patch_by_id(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    return merge.patch(a, table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("c_acctbal")), "id", "c_acctbal")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE q > 250")
+def heavy_orders(spark: SparkSession, d: str) -> DataFrame:
+    """An equi-join after an aggregate: partial sums are combined before the shuffle."""
+    heavy = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("q")).filter("q > 250")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus").join(heavy.select("id"), "id")
