@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         common.discard(last)
     common.discard(pairs)
     if not rounds:
-        return edges.sparkSession.createDataFrame([], "node long, root long")
+        return common.written(edges.sparkSession.createDataFrame([], "node long, root long"), "components")
     found = rounds[-1]
     for parents in rounds[-2::-1]:
         above = found.select(F.col("node").alias("root"), F.col("root").alias("_up"))

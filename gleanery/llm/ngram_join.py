@@ -27,8 +27,9 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.llm import common, components, textvec
 
@@ -367,7 +368,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     if repeated.isEmpty():
         return kept
     several = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
-    schema = several.schema.add("_set", "long")
+    schema = T.StructType([*several.schema.fields, T.StructField("_set", T.LongType())])
 
     def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.slices(batches, "text"):
