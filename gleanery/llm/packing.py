@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, *, max_len: int = MAX_LEN, end_id: int = END_ID, tok
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens.tokenizer(path)
-        for part, texts in common.slices(batches, "text"):
+        for part, texts in common.slices(batches, "text", tokens.SLICE_CHARS):
             rows: list[list] = [[] for _ in range(5 + with_ids)]
             for doc_id, ids in zip(part.column(0).to_pylist(), known.encode(texts)):
                 ids = np.append(ids, np.int32(end_id)).astype("<i4")

@@ -33,7 +33,7 @@ def counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens.tokenizer(path)
-        for part, texts in common.slices(batches, "text"):
+        for part, texts in common.slices(batches, "text", tokens.SLICE_CHARS):
             found = [(BPE, [len(x) for x in known.encode(texts)]), (WORDS, np.diff(textvec.word_hashes(texts)[1]))]
             chars = pa.array([len(t) for t in texts], pa.int64())
             for name, n in found:

@@ -15,6 +15,8 @@ import numpy as np
 
 #: Longer texts are encoded in stretches of this many characters, cut where a cut is exact.
 STRETCH = 2_000_000
+#: Characters of the texts that are encoded together; what is new among their words is encoded in one call.
+SLICE_CHARS = 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
