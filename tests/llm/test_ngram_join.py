@@ -70,7 +70,7 @@ def corpus(rng):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 5])
+@pytest.mark.parametrize("block", [2048, 12])
 def test_components_equal_brute_force(spark, rng, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks: groups and keys span several
     rows = corpus(rng)
