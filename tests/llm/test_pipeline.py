@@ -36,6 +36,23 @@ def test_stages(spark, tmp_path):
         assert [t for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start) for t in r.ids] == [*plain_ids(kept[i]), 0]
 
 
+def shingles(text, words=5):
+    w = text.split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
+
+
+def test_near_copies_from_080(spark, tmp_path):
+    rng = random.Random(9)
+    one, two, three = ([f"{c}{i:03d}" for i in rng.sample(range(1000), 94)] for c in "xyz")
+    rows = [(1, one), (2, one + [f"tail{i}" for i in range(18)]), (3, two), (4, [w if i not in (23, 70) else f"new{i}" for i, w in enumerate(two)]), (5, three), (6, three + [f"more{i}" for i in range(30)])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in ((1, 2), (3, 4), (5, 6))}
+    assert 0.8 <= alike[1, 2] < 0.85 and 0.8 <= alike[3, 4] < 0.85 and alike[5, 6] < 0.8
+    docs = spark.createDataFrame([(i, t, "aa", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in dict(P.STAGES)["near_copies"](spark, docs, str(tmp_path)).collect()} == {1, 3, 5, 6}
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
