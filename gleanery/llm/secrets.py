@@ -4,7 +4,8 @@ Three kinds of spans stand by themselves (``assign``, ``access``, ``hex``). Thre
 assigned identifier), ``secret`` (a mixed token of 20 or more characters) and ``endpoint`` (a URL or a host with a port). An interval
 join over positions within a scope (a paragraph between blank lines) looks for complementary parts up to ``WINDOW`` characters away:
 an ident counts beside a secret part, a secret beside an identifying part, an endpoint beside both. Other weak candidates
-are not reported. An access span is an identifying part, assign and hex spans are secret parts.
+are not reported. An access span is an identifying part, assign and hex spans are secret parts. A mixed token may stand right after ``=``; one
+that is an ident's own value is both parts.
 
 The scan of texts is a Python regex in each Arrow batch; the interval join is a range window over rows dealt by document, whose frame
 holds the parts of 2 * WINDOW characters at most.
@@ -35,7 +36,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 IDENT = re.compile(r"""(?:client|account|user|key|app|tenant)[_-]?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}""", re.IGNORECASE | re.ASCII)
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,99}[A-Z])(?=[A-Za-z0-9+/_-]{0,99}[a-z])(?=[A-Za-z0-9+/_-]{0,99}[0-9])[A-Za-z0-9+/_-]{20,100}(?![A-Za-z0-9+/_-])")
+#: The lookbehind leaves one start a run, so the lookaheads need no bounds.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{20}")
 ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}:\d{1,5}(?!\d)""", re.IGNORECASE | re.ASCII)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")

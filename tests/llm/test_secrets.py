@@ -52,6 +52,23 @@ def test_weak_parts_need_their_complement(spark):
     assert kinds(spark, "https://x.example/a client_id = user77") == []
 
 
+def test_secret_after_equals_and_long(spark):
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    text = f"AWS_ACCESS_KEY_ID={ACCESS}\nAWS_SECRET_ACCESS_KEY={aws}"
+    assert kinds(spark, text) == ["access", "secret"]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact(docs).first().text == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]"
+    for key in ("private_key", "pwd", "access_key"):
+        assert kinds(spark, f"client_id=user77 {key}={WEAK}") == ["ident", "secret"]
+    assert kinds(spark, f"https://x.example/a?client_id=user77&sig={WEAK}") == ["endpoint", "ident", "secret"]
+    assert kinds(spark, f"x={WEAK}") == []
+    long = ("Zx9aB3dE6g" * 15)[:150]
+    docs = spark.createDataFrame([(1, f"id {ACCESS} and {long} end")], "doc_id long, text string")
+    assert [(s.kind, s.end - s.start) for s in secrets.find_secrets(docs).first().found] == [("access", 20), ("secret", 150)]
+    assert secrets.redact(docs).first().text == "id [SECRET] and [SECRET] end"
+    assert secrets.scan("aB3" * 300_000) == [(4, 0, 900_000)] and secrets.scan("xy3" * 300_000) == []
+
+
 def test_redact(spark, odd_docs):
     rows = [(1, "a token=abcdefgh b", 18, "s"), (1, "a token=abcdefgh b", 18, "s"), (1, "other text", 10, "s"), (None, "x password: 'hunter22'", 22, "s"), (2, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, start string")
