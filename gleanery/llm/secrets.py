@@ -2,13 +2,13 @@
 
 Three kinds of spans stand by themselves (``assign``, ``access``, ``hex``). Three weak kinds are only candidates: ``ident`` (an
 assigned identifier), ``secret`` (a mixed token of 20 or more characters) and ``endpoint`` (a URL or a host with a port). An interval
-join over positions within a scope (a paragraph between blank lines) looks for complementary parts up to ``WINDOW`` characters away:
+join within a scope (a paragraph between blank lines) looks for complementary parts up to ``WINDOW`` characters away, from the end of one to the start of the next:
 an ident counts beside a secret part, a secret beside an identifying part, an endpoint beside both. Other weak candidates
 are not reported. An access span is an identifying part, assign and hex spans are secret parts. A mixed token may stand right after ``=``; one
 that is an ident's own value is both parts.
 
-The scan of texts is a Python regex in each Arrow batch; the interval join is a range window over rows dealt by document, whose frame
-holds the parts of 2 * WINDOW characters at most.
+The scan of texts is a Python regex in each Arrow batch; the interval join takes running extremes over rows dealt by document: the
+largest end of the parts that start no later, and the least start of those that start no earlier.
 
 A null or empty text has no spans but keeps its row. Repeated rows stay rows of their own. An empty table gives no rows.
 Other columns are ignored.
@@ -90,11 +90,12 @@ def parts(docs: DataFrame) -> DataFrame:
 
 def linked(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """The document rows, base spans and those weak parts of parts() that have their complement near by."""
-    near = Window.partitionBy("_row", "scope").orderBy("start").rangeBetween(-window, window)
+    scope = Window.partitionBy("_row", "scope")
+    before, after = (scope.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("start"), F.desc("start")))
     kind = F.col("kind")
-    has = {"_ids": kind.isin(1, 3), "_secrets": kind.isin(0, 2, 4)}
-    found = found.repartition("_row").withColumns({k: F.max(v.cast("int")).over(near) for k, v in has.items()})
-    ids, secrets = F.col("_ids") > 0, F.col("_secrets") > 0
+    near = lambda of: F.coalesce(F.col("start") - F.max(F.when(of, F.col("end"))).over(before) <= window, F.lit(False)) | F.coalesce(F.min(F.when(of, F.col("start"))).over(after) - F.col("end") <= window, F.lit(False))
+    found = found.repartition("_row").withColumns({"_ids": near(kind.isin(1, 3)), "_secrets": near(kind.isin(0, 2, 4))})
+    ids, secrets = F.col("_ids"), F.col("_secrets")
     keep = (kind < BASE) | ((kind == 3) & secrets) | ((kind == 4) & ids) | ((kind == 5) & ids & secrets)
     return found.filter(keep).drop("_ids", "_secrets")
 

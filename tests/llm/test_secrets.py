@@ -69,6 +69,26 @@ def test_secret_after_equals_and_long(spark):
     assert secrets.scan("aB3" * 300_000) == [(4, 0, 900_000)] and secrets.scan("xy3" * 300_000) == []
 
 
+def test_gap_counts_from_the_end_of_a_part(spark):
+    jwt = "eyJ" + "hbGciOiJI" * 44
+    assert kinds(spark, f"token={jwt} client_id=app77") == ["assign", "ident"]
+    assert kinds(spark, f"client_id=app77 token={jwt} {WEAK} tenant_id=abcd") == ["ident", "assign", "secret", "ident"]
+    assert kinds(spark, f"https://x.example/{'a/' * 200} {ACCESS} {WEAK}") == ["endpoint", "access", "secret"]
+
+
+def test_links_by_brute_force(spark):
+    rng = random.Random(6)
+    bits = ["client_id=app77", "token=" + "q" * 300, "token=abcdefgh", ACCESS, WEAK, "Zx9" * 100, "https://x.example/" + "a/" * 150, "https://x.example/a", "word " * 20, "w " * 60, "\n\n"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(200)]
+    found = {r.doc_id: [(s.start, s.kind, s.end) for s in r.found] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        blanks = [m.start() for m in secrets.BLANK.finditer(text)]
+        every = [(a, k, b, sum(x <= a for x in blanks)) for k, a, b in secrets.scan(text)]
+        near = lambda p, ks: any(q[1] in ks and q[3] == p[3] and max(q[0], p[0]) - min(p[2], q[2]) <= secrets.WINDOW for q in every)
+        kept = [p for p in every if p[1] < 3 or ((p[1] == 4 or near(p, (0, 2, 4))) and (p[1] == 3 or near(p, (1, 3))))]
+        assert sorted(found[i]) == sorted((a, secrets.KINDS[k], b) for a, k, b, _ in kept), text
+
+
 def test_redact(spark, odd_docs):
     rows = [(1, "a token=abcdefgh b", 18, "s"), (1, "a token=abcdefgh b", 18, "s"), (1, "other text", 10, "s"), (None, "x password: 'hunter22'", 22, "s"), (2, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, start string")
