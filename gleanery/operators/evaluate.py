@@ -109,6 +109,16 @@ def agreement(items: DataFrame) -> DataFrame:
     return own.groupBy(label.alias("label")).agg(F.count("*").alias("asserted"), F.count_if(other | said).alias("agreed"))
 
 
+def agreement_rows(tagged: DataFrame) -> DataFrame:
+    """agreement() of a row for each tag (owner, label, source), without captions. An owner's distinct labels meet in a join, so tags of one label cost nothing more."""
+    tags = tagged.select("owner", F.lower("label").alias("label"), (F.coalesce("source", F.lit("")) == "manual").alias("_own"))
+    own = tags.filter("_own").groupBy("owner", "label").agg(F.count("*").alias("_n"))
+    others = tags.filter("not _own").select(F.col("owner").alias("_o"), F.col("label").alias("_l")).distinct()
+    said = own.join(others, F.col("owner").eqNullSafe(F.col("_o")) & F.contains("_l", "label"), "left_semi")
+    both = own.select("label", F.col("_n").alias("_a"), F.lit(0).cast("long").alias("_s")).unionByName(said.select("label", F.lit(0).cast("long").alias("_a"), F.col("_n").alias("_s")))
+    return both.groupBy("label").agg(F.sum("_a").alias("asserted"), F.sum("_s").alias("agreed"))
+
+
 def predictions(images: DataFrame, labels: DataFrame, anchors: list[list[float]], rule: str = "margin", top: int = 3, least: float = 0.13, temperature: float = 50.0) -> DataFrame:
     """id, predictions (label, score, correct; best first) by the margin rule, or by a softmax over labels and anchors that keeps labels above every anchor.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import tags, text
+
 FAILED = "failed"
 STAMP = "failed:"
 
@@ -138,3 +140,36 @@ def vision_stats(items: DataFrame) -> DataFrame:
 def reset_failed(items: DataFrame) -> DataFrame:
     again = F.expr("vision_state = 'failed' and not pending and size(embedding) > 0")
     return items.withColumn("vision_state", F.when(again, "pending").otherwise(F.col("vision_state")))
+
+
+def tag_tiers(tagged: DataFrame) -> DataFrame:
+    """owner, tier: functions.tags.recognition_tier() of a row for each tag (owner, score, source)."""
+    sure = F.bool_or(F.coalesce(F.col("source").isin(*tags.CERTAIN), F.lit(False)))
+    best = F.max(F.when(~F.coalesce(F.col("source") == "vision", F.lit(False)), F.col("score")))
+    found = tagged.groupBy("owner").agg(sure.alias("_sure"), F.coalesce(best, F.lit(0.0)).alias("_best"))
+    tier = F.when(F.col("_sure") | (F.col("_best") >= tags.RECOGNIZED), "recognized").when(F.col("_best") > 0, "weak").otherwise("unknown")
+    return found.select("owner", tier.alias("tier"))
+
+
+def _named(tagged: DataFrame) -> DataFrame:
+    return tagged.withColumn("label", text.label("label")).filter("label <> ''")
+
+
+def first_tags(tagged: DataFrame) -> DataFrame:
+    """owner, label, score: functions.tags.normalize() of a row for each tag (owner, id for the order, label, score)."""
+    first = F.min_by(F.struct("score"), "id")
+    return _named(tagged).groupBy("owner", "label").agg(first.alias("_t")).select("owner", "label", "_t.score")
+
+
+def merged_tags(tagged: DataFrame, cap_auto: int = 6) -> DataFrame:
+    """owner, pos, label, source, score: functions.tags.merge_durable() of a row for each tag (owner, id for the order, label, score, source).
+
+    Tags of one label are merged by partial aggregation; only an owner's distinct labels are put in order.
+    """
+    rows = _named(tagged).withColumn("_k", tags.rank(F.struct("source")))
+    merged = rows.groupBy("owner", "label").agg(F.max(F.struct("_k", "score", "id", "source")).alias("_t"), F.min("id").alias("_place"))
+    best = merged.select("owner", "label", "_t.*", "_place").withColumn("_durable", F.coalesce(F.col("source").isin(*tags.DURABLE), F.lit(False)))
+    order = [F.desc("_k"), F.desc("score"), F.asc("_place")]
+    kept = best.withColumn("_n", F.row_number().over(Window.partitionBy("owner", "_durable").orderBy(*order))).filter(F.col("_durable") | (F.col("_n") <= cap_auto))
+    pos = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("_durable"), "_n")) - 1
+    return kept.select("owner", pos.alias("pos"), "label", "source", "score")

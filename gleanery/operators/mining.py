@@ -67,7 +67,16 @@ def facet_coverage(items: DataFrame, keywords: DataFrame) -> DataFrame:
     A tag's words meet the vocabulary in an equi-join.
     """
     total = items.agg(F.count("*").alias("_n"))
-    tag_words = items.select("id", F.explode("tags").alias("t")).select("id", F.explode(F.array_distinct(F.split(F.lower("t.label"), "[^a-z0-9]+"))).alias("word"))
+    return _coverage(items.select("id", F.explode("tags").alias("t")).select("id", "t.label"), total, keywords)
+
+
+def facet_coverage_rows(tagged: DataFrame, keywords: DataFrame) -> DataFrame:
+    """facet_coverage() of a row for each tag: id, label."""
+    return _coverage(tagged.select("id", "label").distinct(), tagged.agg(F.count_distinct("id").alias("_n")), keywords)
+
+
+def _coverage(labels: DataFrame, total: DataFrame, keywords: DataFrame) -> DataFrame:
+    tag_words = labels.select("id", F.explode(F.array_distinct(F.split(F.lower("label"), "[^a-z0-9]+"))).alias("word"))
     hits = tag_words.join(keywords, "word").select("id", "facet").distinct().groupBy("facet").agg(F.count("*").alias("items"))
     return hits.crossJoin(F.broadcast(total)).select("facet", "items", (F.col("items") / F.col("_n")).alias("share"))
 

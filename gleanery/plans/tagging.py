@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import tags as T
 from gleanery.functions import vectors
-from gleanery.operators import evaluate, learn, mining
+from gleanery.operators import evaluate, learn, merge, mining
 from gleanery.plans import bindings as B
 from gleanery.plans.register import query
 from gleanery.sources.tables import table
@@ -48,21 +48,13 @@ def _tagged(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("owner"), F.get(names, (F.col("event_id") % 7).cast("int")).alias("source"), F.col("event_type").alias("label"), F.round(F.col("value") / 500, 4).alias("score"))
 
 
-def _tag_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Each owner's tags, the last fifty of them in order (a library item's tags are few)."""
-    place = F.row_number().over(Window.partitionBy("owner").orderBy("id"))
-    rows = _tagged(spark, d).withColumn("_p", place).filter("_p <= 50")
-    tag = F.struct("_p", F.struct("label", F.lit("topic").alias("category"), "score", "source").alias("t"))
-    return rows.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(tag)), lambda x: x["t"]).cast(T.TAGS).alias("tags"))
-
-
 LISTS = f"r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY id) AS p FROM ({TAGGED})), few AS (SELECT * FROM r WHERE p <= 50)"
 
 
 @query(f"""WITH {LISTS}, t AS (SELECT owner, bool_or(coalesce(source IN ('manual', 'ocr', 'exemplar', 'propagated'), false)) AS sure, max(CASE WHEN source IS DISTINCT FROM 'vision' THEN score END) AS best FROM few GROUP BY owner)
 SELECT owner, CASE WHEN sure OR best >= 0.56 THEN 'recognized' WHEN best > 0 THEN 'weak' ELSE 'unknown' END AS tier FROM t""")
 def recognition_tier(spark: SparkSession, d: str) -> DataFrame:
-    return _tag_lists(spark, d).select("owner", T.recognition_tier("tags").alias("tier"))
+    return merge.tag_tiers(_tagged(spark, d))
 
 
 RANKED = "CASE source WHEN 'manual' THEN 6 WHEN 'exemplar' THEN 5 WHEN 'propagated' THEN 4 WHEN 'ocr' THEN 3 WHEN 'vision' THEN 2 ELSE 1 END"
@@ -74,14 +66,13 @@ o AS (SELECT *, row_number() OVER (PARTITION BY owner, durable ORDER BY k DESC,
 w AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY durable DESC, n) AS pos FROM o WHERE durable OR n <= 2)
 SELECT owner, pos - 1 AS pos, label, source, score FROM w""")
 def tag_merge(spark: SparkSession, d: str) -> DataFrame:
-    merged = _tag_lists(spark, d).select("owner", F.posexplode(T.merge_durable("tags", 2)).alias("pos", "t"))
-    return merged.select("owner", F.col("pos").cast("long").alias("pos"), "t.label", "t.source", "t.score")
+    return merge.merged_tags(_tagged(spark, d), 2).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"""WITH {LISTS}, b AS (SELECT *, row_number() OVER (PARTITION BY owner, label ORDER BY p) AS first FROM few)
 SELECT owner, label, score FROM b WHERE first = 1""")
 def tag_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return _tag_lists(spark, d).select("owner", F.explode(T.normalize("tags")).alias("t")).select("owner", "t.label", "t.score")
+    return merge.first_tags(_tagged(spark, d))
 
 
 @query("SELECT source AS label, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, label LIMIT 40")
@@ -103,14 +94,14 @@ def label_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {LISTS}, said AS (SELECT a.owner, a.p, a.label, EXISTS (SELECT 1 FROM few b WHERE b.owner = a.owner AND coalesce(b.source, '') <> 'manual' AND contains(b.label, a.label)) AS ok FROM few a WHERE a.source = 'manual')
 SELECT label, count(*) AS asserted, count(*) FILTER (WHERE ok) AS agreed FROM said GROUP BY label""")
 def tag_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.agreement(_tag_lists(spark, d).select("owner", F.lit("").alias("caption"), "tags"))
+    return evaluate.agreement_rows(_tagged(spark, d))
 
 
 @query(f"""WITH {LISTS}, n AS (SELECT count(DISTINCT owner) AS n FROM few), k(word, facet) AS (VALUES ('click', 'action'), ('view', 'action'), ('error', 'emotion'), ('signup', 'topic'))
 SELECT facet, count(DISTINCT owner) AS items, round(count(DISTINCT owner) / any_value(n.n), 6) AS share FROM few JOIN k ON label = word, n GROUP BY facet""")
 def facet_coverage(spark: SparkSession, d: str) -> DataFrame:
     words = spark.createDataFrame([("click", "action"), ("view", "action"), ("error", "emotion"), ("signup", "topic")], "word string, facet string")
-    found = mining.facet_coverage(_tag_lists(spark, d).withColumnRenamed("owner", "id"), words)
+    found = mining.facet_coverage_rows(_tagged(spark, d).select(F.col("owner").alias("id"), "label"), words)
     return found.select("facet", "items", F.round("share", 6).alias("share"))
 
 
