@@ -4,7 +4,7 @@ A page becomes a tree: missing end tags are implied (p before a block; li, dt, d
 visible text is rendered. Hidden: head, script, style, template, noscript, iframe, object, select lists' and media's inner text, comments, elements with the
 ``hidden`` attribute, ``aria-hidden=true``, ``display: none`` or ``visibility: hidden``, and hidden inputs. Blanks collapse outside pre and textarea. Blocks start on lines of their own; paragraphs,
 headings, lists and tables stand apart by an empty line; list items have bullets or numbers and are indented by depth; table cells are
-padded to the width of their column and parted by `` | ``.
+padded to the width of their column and parted by `` | ``. What stands in a table but in no cell comes before it; forms and the like in a table are looked through for rows and cells.
 
 A null or empty page has the empty text. Repeated rows are rendered each. An empty table gives no rows. Other columns are ignored.
 """
@@ -32,6 +32,9 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: What may stand in a head; any other start tag closes it.
+IN_HEAD = frozenset("title meta link style script base template noscript noframes".split())
+CELLS, SECTIONS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
 STYLE_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Tables nested deeper than this are rendered as plain blocks.
@@ -63,14 +66,14 @@ class Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self.open.pop()
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag in BLOCK:
             self._end({"p"}, {"td", "th", "table", "li", "div", "object", "button"})
             if tag in ("td", "th") and not any(n.tag == "tr" for n in self.open[-2:]):
                 self._push("tr", {})
-        elif self.open[-1].tag == "head" and tag not in ("title", "meta", "link", "style", "script", "base", "template", "noscript"):
-            self.open.pop()
         self._push(tag, {k: v or "" for k, v in attrs})
         if tag in VOID:
             self.open.pop()
@@ -159,28 +162,70 @@ class Page:
         self.due_empty |= apart
 
 
-def table_rows(table: Node) -> Iterator[Node]:
-    below = [iter(table.children)]
+def holders(table: Node) -> set[int]:
+    """Ids of the nodes below ``table`` that hold rows or cells of it."""
+    found: set[int] = set()
+    path = [(table, iter(table.children))]
+    while path:
+        child = next(path[-1][1], None)
+        if child is None:
+            path.pop()
+        elif isinstance(child, Node) and child.tag != "table" and not hidden(child):
+            if child.tag == "tr" or child.tag in CELLS:
+                for node, _ in reversed(path):
+                    if id(node) in found:
+                        break
+                    found.add(id(node))
+            if child.tag not in CELLS:
+                path.append((child, iter(child.children)))
+    return found
+
+
+def table_parts(table: Node) -> tuple[list[list[Node]], list[Node], list[Node | str]]:
+    """Rows of cells, captions, and what else is there. Forms and the like are looked through for rows and cells."""
+    rows: list[list[Node]] = []
+    captions: list[Node] = []
+    rest: list[Node | str] = []
+    through = holders(table)
+    row: list[Node] | None = None
+    below = [(table, iter(table.children))]
     while below:
-        child = next(below[-1], None)
+        node, children = below[-1]
+        child = next(children, None)
         if child is None:
             below.pop()
-        elif isinstance(child, Node) and not hidden(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                below.append(iter(child.children))
-
-
-def render_table(table: Node, depth: int) -> list[str]:
+            if node.tag == "tr" and not any(n.tag == "tr" for n, _ in below):
+                row = None
+        elif isinstance(child, str):
+            rest.append(child)
+        elif hidden(child):
+            continue
+        elif child.tag in CELLS:
+            if row is None:
+                row = []
+                rows.append(row)
+            row.append(child)
+        elif child.tag == "caption":
+            captions.append(child)
+        elif child.tag == "tr" or child.tag in SECTIONS or id(child) in through:
+            if child.tag == "tr" and not any(n.tag == "tr" for n, _ in below):
+                row = []
+                rows.append(row)
+            rest.append(" ")
+            below.append((child, iter(child.children)))
+        else:
+            rest.append(child)
+    return rows, captions, rest
+
+
+def render_table(found: list[list[Node]], depth: int) -> list[str]:
     rows = []
-    for row in table_rows(table):
+    for row in found:
         cells: list[list[str]] = []
-        for cell in row.children:
-            if isinstance(cell, Node) and cell.tag in ("td", "th") and not hidden(cell):
-                cells.append(render(cell, depth + 1))
-                span = cell.attrs.get("colspan", "1")
-                cells += [[]] * (min(int(span), 100) - 1 if span.isdigit() and span.isascii() else 0)
+        for cell in row:
+            cells.append(render(cell, depth + 1))
+            span = cell.attrs.get("colspan", "1")
+            cells += [[]] * (min(int(span), 100) - 1 if span.isdigit() and span.isascii() else 0)
         if any(cells):
             rows.append(cells)
     widths: list[int] = []
@@ -225,13 +270,14 @@ def render(root: Node, depth: int = 0) -> list[str]:
             below["nested"] = nested
             page.block(tag in APART and not nested)
         if tag == "table" and depth < TABLE_DEPTH:
-            captions = [c for c in child.children if isinstance(c, Node) and c.tag == "caption" and not hidden(c)]
-            for line in [x for c in captions for x in render(c, depth + 1)] + render_table(child, depth):
-                page.exact(line)
-                page.end(keep=True)
-            loose = [c for c in child.children if isinstance(c, str) and c.strip()]
-            for c in loose:
-                page.text(c)
+            rows, captions, rest = table_parts(child)
+            loose = Node("div", {})
+            loose.children = rest
+            for lines in (render(loose, depth + 1), [x for c in captions for x in render(c, depth + 1)] + render_table(rows, depth)):
+                for line in lines:
+                    page.exact(line)
+                    page.end(keep=True)
+                page.block(bool(lines))
             page.block(True)
             continue
         if tag in ("dd", "blockquote"):

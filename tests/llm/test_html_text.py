@@ -26,6 +26,25 @@ def test_all_text_survives():
         assert word in visible_text(page)
 
 
+def test_text_after_an_open_head():
+    assert visible_text("<head><title>T</title><h1>Hi</h1><p>Text") == "Hi\n\nText"
+    assert visible_text("<html><head><meta charset=utf-8><link href=x><style>p{}</style><table><tr><td>a<td>b</table>") == "a | b"
+    assert visible_text("<head><script>x()</script><template><p>no</template><ul><li>one") == "- one"
+
+
+def test_text_of_tables_outside_cells():
+    assert visible_text("<table><form><tr><td>x<td>y<tr><td>z</form></table>") == "x | y\nz"
+    assert visible_text("<table><tr><form><td>x</td><td>y</td></form></tr></table>") == "x | y"
+    assert visible_text("<table><tr><td>a</td></tr><div>note</div>see <b>this</b><tbody>in <tr>row<td>b</table>end") == "note\nsee this in row\n\na\nb\n\nend"
+    assert visible_text("<table><form><p>ask</p><tbody><tr><td>q</td></tr></tbody></form><form hidden><tr><td>no</table>") == "ask\n\nq"
+    assert visible_text("<table><tr><table><td>i</table></table>") == "i"
+    words = [f"w{i}" for i in range(9)]
+    page = "<table>{}<div>{}</div><caption>{}</caption><thead>{}<tr>{}<th>{}</th><form><span>{}</span><td>{}</td></form></thead><center>{}</center></table>".format(*words)
+    assert sorted(visible_text(page).replace("|", " ").split()) == words
+    deep = "<table>" + "<div>" * 20_000 + "<tr><td>x"
+    assert visible_text(deep) == "x"
+
+
 def test_frame(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (2, None, None), (3, "u", ""), (None, "u", "<b>y</b>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' as text")
