@@ -30,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a folder under /tmp/checkpoints is set.
+    Where the session names none and runs on one machine, a folder under /tmp/checkpoints is set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -58,6 +60,18 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from the columns of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive rows of ``batches`` whose texts (null: empty) hold about ``limit`` UTF-8 bytes, one row at least."""
     for batch in batches:

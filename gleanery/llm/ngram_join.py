@@ -2,21 +2,23 @@
 
 Exact throughout: every pair of different texts whose shingle sets have ``100 * intersection >= percent * union`` is in one component.
 
-1. Each document becomes its set of shingle hashes. Equal sets are one class from here on.
-2. Candidates. Two linked sets of n and m shingles differ in at most D shingles, which their sizes give. Hash ranges deal the shingles into parts; at most D parts differ,
-   so if each set emits its first D + 1 filled parts as keys, linked sets share a key. The number of parts depends on the size class, and a larger set emits for the class below too
-   where a partner may be there. Shingles that a bounded sample shows to be common are left out first, which can only lower the
-   difference; a set that keeps too few filled parts also emits parts of all its shingles, and if these are too few, the single shingles of its prefix
-   (n - ceil(percent n) + 1 least hashes).
+1. Each document becomes its set of shingle hashes. Equal sets are one class from here on; one row's text stands for the class.
+2. Candidates. In any order of all shingles, two linked sets share one of their first n - ceil(percent n / 100) + 1, so these are a set's keys. The order is by hash, but
+   shingles that a bounded sample shows to be common come last, which bears on speed only. Keys held by the same classes are one bucket: a
+   key is replaced by a hash of all its holders, and repeats go before bitmaps move.
 3. Signature trees. The sets that share a key form a tree whose nodes hold OR-combined token bitmaps, size ranges and the most tokens that share a bit. Two nodes are walked at
-   once: a pair goes when the sizes can't link, when common bits plus shared-bit tokens are below the least overlap, or when all below is connected already. A key or group of
-   many sets is dealt into blocks, and each pair of blocks is walked on its own. First trees over the sets of each key, with bitmaps alone, give edges that span what
-   is possible; their connected components are the candidate groups.
+   once: a pair goes when the sizes can't link, when common bits plus shared-bit tokens are below the least overlap, or when all below is connected already. First trees over the
+   sets of each bucket, with bitmaps alone, give edges that span what is possible; their connected components are the candidate groups.
 4. Then trees over each group's sets, with true intersections at the leaves, give links.
 5. Links found are joined into components; a component's id is its least doc_id.
 
-Sets and nodes are known by 64-bit hashes. Null and empty texts have no shingles and are linked with nothing; a repeated row is a document of its own, equal to its copy. A null doc_id
-shares the component of documents with an equal set that have one, and else has a null component. An empty table gives no rows. Other columns are ignored.
+A bucket or group of many sets is dealt into blocks (of BLOCK sets or BLOCK_SHINGLES shingles). Each block meets itself and the first one. What these links leave apart from the largest
+component of its bucket or group then meets every block: linear in the size of a group of near copies, whatever its size, and still every pair that isn't connected yet.
+Keys of many holders are told by a sample and dealt into blocks at once, so no task counts them.
+
+Sets and nodes are known by 64-bit hashes, a class's row by doc_id and a 64-bit hash of its text. Null and empty texts have no shingles and are linked with nothing; a repeated row is a
+document of its own, equal to its copy. A row without a doc_id takes part and links others; its own component_id is the least doc_id of its component, null if that has none. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,19 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanery.llm import common, components, textvec
 
 WORDS, PERCENT = 4, 85
-#: Common shingles are looked for in this many documents; those in at least COMMON of them are left out of the first keys.
+#: Common shingles and keys are looked for in this many documents or classes: those in at least COMMON of them.
 SAMPLE, COMMON = 4000, 8
-#: Sets in a block of a signature tree, sets in a leaf, children of a node.
-BLOCK, LEAF, FANOUT = 2048, 32, 8
+#: Sets and shingles in a block, sets in a leaf of a signature tree, children of a node.
+BLOCK, BLOCK_SHINGLES, LEAF, FANOUT = 2048, 1 << 22, 32, 8
 #: Bits of the widest token bitmap.
 LARGEST_MAP = 1 << 16
-#: Up to so many candidate classes their ids are broadcast to pick texts; beyond, texts meet them in a shuffled join.
+#: Up to so many rows of ids are broadcast; beyond, they meet the other side in a shuffled join.
 BROADCAST_IDS = 500_000
+#: A class with this share of all rows, of which there can't be more than its inverse, gets its component by broadcast.
+HOT_CLASS = 1000
 
 
 def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
@@ -49,49 +52,18 @@ def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def most_difference(n: int, percent: int = PERCENT) -> int:
-    """The most shingles in which a set of n and any linked one can differ; the difference is largest at the largest partner."""
-    top = 100 * n // percent
-    return max(n + m - 2 * least_overlap(n, m, percent) for m in range(max(n, top - 3), top + 1))
-
-
-def size_classes(n: int, percent: int = PERCENT) -> list[int]:
-    low = -(-percent * n // 100)
-    return sorted({n.bit_length() - 1, max(low, 1).bit_length() - 1})
-
-
-def _part_keys(tokens: np.ndarray, size_class: int, space: int, most: int | None) -> tuple[np.ndarray, int]:
-    """Keys of the first ``most`` filled parts (all if None), and how many are filled."""
-    if not len(tokens):
-        return np.zeros(0, np.uint64), 0
-    parts = max(1, (1 << size_class) // 2)
-    part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    sums = np.add.reduceat(textvec.mix(tokens), starts)
-    keys = textvec.mix(textvec.mix(sums) + part[starts] * np.uint64(textvec.BASE) + np.uint64(size_class * 4 + space))
-    return keys[:most], len(starts)
-
-
 def candidate_keys(tokens: np.ndarray, common_tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of a set (sorted hashes) such that any two different linked sets share one."""
     n = len(tokens)
-    if n == 0 or (most := most_difference(n, percent)) == 0:  # linked with equal sets alone
+    if n == 0 or 100 * (n - 1) < percent * n and 100 * n < percent * (n + 1):  # linked with equal sets alone
         return np.zeros(0, np.uint64)
-    rare = tokens
+    most = n - -(-percent * n // 100) + 1
     if len(common_tokens):
         at = np.minimum(np.searchsorted(common_tokens, tokens), len(common_tokens) - 1)
-        rare = tokens[common_tokens[at] != tokens]
-    found, prefix = [], False
-    for c in size_classes(n, percent):
-        keys, filled = _part_keys(rare, c, 0, most + 1)
-        found.append(keys)
-        if filled <= most:
-            keys, filled = _part_keys(tokens, c, 1, most + 1)
-            found.append(keys)
-            prefix |= filled <= most
-    if prefix:
-        found.append(textvec.mix(tokens[: n - -(-percent * n // 100) + 1] + np.uint64(2)))
-    return np.concatenate(found)
+        frequent = common_tokens[at] == tokens
+        rare = tokens[~frequent][:most]
+        return rare if len(rare) == most else np.concatenate([rare, tokens[frequent][: most - len(rare)]])
+    return tokens[:most]
 
 
 def common_shingles(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
@@ -116,20 +88,23 @@ def set_hash(tokens: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (hashes of the set), map (its token bitmap) and keys: a row for each document."""
+    """doc_id, text_hash, n_shingles, set_a and set_b (hashes of the set), map (its token bitmap) and keys: a row for each document."""
     stop = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.slices(batches, "text"):
             sets = textvec.shingle_sets(texts, words)
-            keys = [np.unique(candidate_keys(s, stop.value, percent)) for s in sets]
+            keys = [np.sort(candidate_keys(s, stop.value, percent)) for s in sets]
             b = np.array([textvec.mix(s ^ np.uint64(textvec.BASE)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
             sizes = np.array([len(s) for s in sets], np.int64)
             ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(b.view(np.int64)), pa.array([token_map(x, bits_of(len(x))).tobytes() for x in sets], pa.binary()), listed], ["doc_id", "n_shingles", "set_a", "set_b", "map", "keys"])
+            maps = pa.array([token_map(x, bits_of(len(x))).tobytes() for x in sets], pa.binary())
+            columns = [part.column(0), part.column(2), pa.array(sizes), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(b.view(np.int64)), maps, listed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "map", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n_shingles long, set_a long, set_b long, map binary, keys array<long>")
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return named.mapInArrow(look, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, map binary, keys array<long>")
 
 
 def bits_of(n: int) -> int:
@@ -170,15 +145,16 @@ class Tree:
         return {"maps": np.bitwise_or.reduceat(maps, at, axis=0), "low": np.minimum.reduceat(low, at), "high": np.maximum.reduceat(high, at), "slack": np.maximum.reduceat(slack, at), "rows": np.append(rows[at], rows[-1])}
 
 
-def connect(one: Tree, two: Tree | None, linked: Callable[[int, int, int], bool], percent: int = PERCENT) -> list[tuple[int, int]]:
+def connect(one: Tree, two: Tree | None, linked: Callable[[int, int, int], bool], percent: int = PERCENT, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect all that links between two trees, or within one, connect.
 
     ``linked(i, j, least)`` decides on pairs that the bitmaps leave (numbers of sets; those of the second tree come after the first's), given their least overlap.
+    Sets of equal ``labels`` are connected from the start.
     """
     within = two is None
     two = one if within else two
     shift = 0 if within else len(one.sizes)
-    root = np.arange(shift + len(two.sizes))
+    root = np.arange(shift + len(two.sizes)) if labels is None else np.unique(np.array(labels), return_inverse=True)[1]
     row_a, row_b = one.order, two.order + shift
     links: list[tuple[int, int]] = []
     stack = [(len(one.levels) - 1, 0, len(two.levels) - 1, 0)]
@@ -211,7 +187,7 @@ def connect(one: Tree, two: Tree | None, linked: Callable[[int, int, int], bool]
     return links
 
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (numbers in left + right) that connect all that true links between left and right, or within left alone, connect."""
     every = left + (right or [])
     bits = bits_of(max((len(s) for s in every), default=1))
@@ -219,16 +195,16 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
     def tree(sets: list[np.ndarray]) -> Tree:
         return Tree(np.array([token_map(s, bits) for s in sets]), np.array([len(s) for s in sets]), np.array([s[0] if len(s) else 0 for s in sets], np.uint64))
 
-    return connect(tree(left), None if right is None else tree(right), lambda i, j, least: len(np.intersect1d(every[i], every[j], assume_unique=True)) >= least, percent)
+    return connect(tree(left), None if right is None else tree(right), lambda i, j, least: len(np.intersect1d(every[i], every[j], assume_unique=True)) >= least, percent, labels)
 
 
-def possible_pairs(sizes: list[list[int]], maps: list[list[bytes]], percent: int = PERCENT) -> list[tuple[int, int]]:
+def possible_pairs(sizes: list[list[int]], maps: list[list[bytes]], percent: int = PERCENT, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """The same for sets known by their sizes and bitmaps alone: pairs count as linked when the bitmaps allow it. One or two sides."""
     width = min(len(m) for side in maps for m in side)
     n = [np.array(s) for s in sizes]
     own = [np.array([folded(np.frombuffer(m, np.uint8), width) for m in side]) for side in maps]
     trees = [Tree(m, s, np.ascontiguousarray(m[:, :8]).view(np.uint64)[:, 0]) for m, s in zip(own, n)]
-    return connect(trees[0], trees[1] if len(trees) > 1 else None, lambda i, j, least: True, percent)
+    return connect(trees[0], trees[1] if len(trees) > 1 else None, lambda i, j, least: True, percent, labels)
 
 
 def _pair_possible(n: int, one: bytes, m: int, two: bytes, percent: int) -> bool:
@@ -242,81 +218,138 @@ def _pair_possible(n: int, one: bytes, m: int, two: bytes, percent: int) -> bool
     return (a & b).bit_count() + min(n - a.bit_count(), m - b.bit_count()) >= least_overlap(n, m, percent)
 
 
-def _blocks(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` (with ``blocks``, the number of blocks of their key, and ``node``) once for each pair of blocks that their block is in: one, two, side.
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
-    A key of up to BLOCK rows is one block and its rows stay single.
-    """
-    own = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two"), (F.col("block") > k).cast("int").alias("side"))))
-    spread = own.withColumn("_p", pairs).withColumns({"one": F.col("_p.one"), "two": F.col("_p.two"), "side": F.col("_p.side")}).drop("_p", "block", "blocks")
-    return spread.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two")
+
+PLACE = ("key", "one", "two", "side", "node", "label")
+
+
+def _first_places(members: DataFrame) -> DataFrame:
+    """Where each of ``members`` (key, node, blocks) is walked: its block with itself (one = two), and with the key's first block."""
+    own = members.withColumn("_b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    zero = F.lit(0)
+    place = lambda one, two, side: F.struct(one.alias("one"), two.alias("two"), side.alias("side"))
+    first = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda k: place(zero, k, zero))
+    other = F.array(place(F.col("_b"), F.col("_b"), zero), place(zero, F.col("_b"), F.lit(1)))
+    return own.withColumn("_p", F.explode(F.when(F.col("_b") == 0, first).otherwise(other))).select("key", "_p.*", "node", F.col("node").alias("label"))
+
+
+def _left_places(labelled: DataFrame) -> DataFrame:
+    """Where rows (key, node, blocks, label) of keys of several blocks are walked again: what isn't in a key's largest component meets all blocks of the key."""
+    counted = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
+    odd = F.sum("n") - F.max("n")
+    keys = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.ceil(odd * F.first("blocks") / F.sum("n")).cast("int").alias("odd"))
+    rows = labelled.join(_small(common.written(keys.filter("odd > 0"), "odd")), "key")
+    place = lambda one, two, side: F.struct((-1 - one).alias("one"), two.alias("two"), F.lit(side).alias("side"))
+    block, own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("odd")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("odd") - 1), lambda k: place(k, block, 1))
+    asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: place(own, k, 0))
+    return rows.withColumn("_p", F.explode(F.when(F.col("label") == F.col("major"), met).otherwise(F.concat(met, asks)))).select("key", "_p.*", "node", "label")
+
+
+def _connected(members: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root): components of all that ``links`` finds between members (key, node, blocks) of equal keys."""
+    first = common.written(links(_first_places(members)), "links")
+    joined = components.components(first)
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        common.discard(first)
+        return joined
+    labelled = common.written(large.join(joined, "node", "left").select("key", "node", "blocks", F.coalesce("root", "node").alias("label")), "labelled")
+    second = common.written(links(_left_places(labelled)), "links")
+    common.discard(labelled)
+    if second.isEmpty():
+        return joined
+    out = components.components(first.union(second))
+    common.discard(first, second, joined)
+    return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[bool, list[list[tuple]]]]:
-    """Whether a group of equal (key, one, two) is within one block, and its two sides' rows. Only one group is held."""
-    each = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(width))))
-    for (_, one, two), members in groupby(each, key=lambda r: r[:3]):
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "side", "node")
+
+
+def _grouped(rows: Iterator[tuple]) -> Iterator[tuple[bool, list[list[tuple]]]]:
+    """Whether a group of equal (key, one, two) is within one block, and its two sides' rows (node, label, ...), each node once. Only one group is held."""
+    for (_, one, two), members in groupby(rows, key=lambda r: r[:3]):
         sides: list[list[tuple]] = [[], []]
         for row in members:
-            sides[row[3]].append(row[4:])
+            side = sides[row[3]]
+            if not side or side[-1][0] != row[4]:
+                side.append(row[4:])
         yield one == two, sides
 
 
 def _edges(pairs: Iterator[tuple[int, int]], most: int = 100_000) -> Iterator[pa.RecordBatch]:
     found: set[tuple[int, int]] = set()
-    for pair in pairs:
-        found.add(pair)
+    for a, b in pairs:
+        found.add((a, b) if a < b else (b, a))
         if len(found) >= most:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
             found = set()
     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def candidate_groups(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root): groups of classes that hold every link, from the keys they share and what their bitmaps allow.
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(key, node, blocks): the buckets of classes (set_a, keys) that hold more than one class, and their members.
 
-    Keys held by one class go before anything else moves; the others' rows get their sizes and bitmaps, and a signature tree for each key (or pair of
-    blocks of it) gives edges that span what is possible.
+    Keys in at least COMMON of SAMPLE classes are buckets at once, their blocks told by their share of the sample. All others are counted, those of one class go, and those
+    of the same classes become one.
     """
-    key = Window.partitionBy("key")
     keyed = classes.select(F.col("set_a").alias("node"), F.explode("keys").alias("key"))
-    shared = keyed.withColumn("_n", F.count("*").over(key)).filter("_n > 1").select("key", "node", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    total = classes.count()
+    sample = classes.orderBy(F.xxhash64("set_a"), "set_a").limit(SAMPLE).select(F.explode("keys").alias("key"))
+    share = F.col("n") * (1.25 * total / min(SAMPLE, max(1, total)) / BLOCK)
+    hot = common.written(sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).select("key", F.ceil(share).cast("int").alias("blocks")), "hot")
+    hot_rows = keyed.join(F.broadcast(hot), "key").select("key", "node", "blocks")
+    key = Window.partitionBy("key")
+    counted = keyed.join(F.broadcast(hot), "key", "left_anti").select("key", "node", F.count("*").over(key).alias("n"), F.bit_xor(F.xxhash64("node")).over(key).alias("_x"), F.sum(F.xxhash64(F.lit(7), "node").bitwiseAND(0xFFFFFFFF)).over(key).alias("_s"))
+    bucket = F.xxhash64("n", "_x", "_s").alias("key")
+    rows = counted.filter("n > 1").select(bucket, "node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).distinct()
+    return rows.unionByName(hot_rows)
+
+
+def candidate_groups(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root): groups of classes that hold every link, from the keys they share and what their bitmaps allow."""
     known = classes.select(F.col("set_a").alias("node"), F.col("n_shingles").cast("int").alias("n"), "map")
-    rows = _blocks(shared.join(known, "node"), "key").select("key", "one", "two", "side", "node", "n", "map")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(8))))
+
         def pairs() -> Iterator[tuple[int, int]]:
-            for within, (left, right) in _grouped(batches, 7):
+            for within, (left, right) in _grouped(rows):
                 if within and len(left) == 2:
-                    (a, n, one), (b, m, two) = left
+                    (a, _, n, one), (b, _, m, two) = left
                     if _pair_possible(n, one, m, two, percent):
-                        yield (a, b) if a < b else (b, a)
+                        yield a, b
                 elif len(left) > 1 if within else left and right:
                     sides = [left] if within else [left, right]
-                    nodes = [r[0] for side in sides for r in side]
-                    for i, j in possible_pairs([[r[1] for r in side] for side in sides], [[r[2] for r in side] for side in sides], percent):
-                        yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+                    every = [r for side in sides for r in side]
+                    for i, j in possible_pairs([[r[2] for r in side] for side in sides], [[r[3] for r in side] for side in sides], percent, [r[1] for r in every]):
+                        yield every[i][0], every[j][0]
 
         return _edges(pairs())
 
-    return components.components(rows.mapInArrow(walk, "a long, b long"))
+    buckets = common.written(shared_buckets(classes), "buckets")
+    out = _connected(buckets, lambda places: _met(places.join(known, "node").select(*PLACE, "n", "map")).mapInArrow(walk, "a long, b long"))
+    common.discard(buckets)
+    return out
 
 
 def true_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is linked within each group of rows (root, one, two, side, node, text)."""
+    """Links (a, b) that connect what is linked within each group of rows (key, one, two, side, node, label, text)."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for part, texts in common.slices(batches, "text") for row in zip(*(part.column(i).to_pylist() for i in range(6)), textvec.shingle_sets(texts, words)))
+
         def pairs() -> Iterator[tuple[int, int]]:
-            for within, sides in _grouped(batches, 6):
-                # A doc_id may stand for several texts; only the one with the node's set is the node.
-                own = [[(node, s) for (node, _), s in zip(side, textvec.shingle_sets([r[1] for r in side], words)) if set_hash(s) == node] for side in sides]
-                left, right = [s for _, s in own[0]], [s for _, s in own[1]]
-                if not left or not (within or right):
-                    continue
-                nodes = [n for side in own for n, _ in side]
-                for i, j in linked_pairs(left, None if within else right, percent):
-                    yield nodes[i], nodes[j]
+            for within, (left, right) in _grouped(rows):
+                if len(left) > 1 if within else left and right:
+                    every = left if within else left + right
+                    for i, j in linked_pairs([r[2] for r in left], None if within else [r[2] for r in right], percent, [r[1] for r in every]):
+                        yield every[i][0], every[j][0]
 
         return _edges(pairs())
 
@@ -324,30 +357,41 @@ def true_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and set_a (equal for documents with equal sets): a row for each document."""
+    """doc_id, text_hash, n_shingles, component_id, set_a and root (equal for documents of one component): a row for each document."""
+    docs = docs.select("doc_id", "text")
     sets = common.written(document_sets(docs, words, percent), "sets")
-    classes = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map"), F.first("keys").alias("keys")).filter("rep is not null")
+    least = F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("rep")
+    classes = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(least, F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map"), F.first("keys").alias("keys"))
     classes = common.written(classes, "classes")
     named = common.written(sets.drop("keys", "map", "set_b"), "named")
     common.discard(sets)
+    reps = common.written(classes.select(F.col("set_a").alias("node"), "rep.doc_id", "rep.text_hash", "n_shingles", "copies"), "reps")
     groups = candidate_groups(classes, percent)
-    reps = common.written(classes.select(F.col("set_a").alias("node"), "rep"), "reps")
     common.discard(classes)
 
     # Texts of the groups' classes meet again in blocks of their group.
-    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = common.written(groups.join(blocks, "root").join(reps, "node"), "members")
-    common.discard(groups)
-    wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    text = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("root", "node", "blocks", "text")
-    rows = _blocks(text, "root").select("root", "one", "two", "side", "node", "text")
-    joined = components.components(true_links(rows, words, percent))
-
-    common.discard(members)
-    own = reps.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = own.groupBy("root").agg(F.min("rep").alias("component"))
-    component = own.join(least, "root").select(F.col("node").alias("set_a"), "component")
-    return named.join(component, "set_a", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "set_a")
+    blocks = groups.join(reps, "node").groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    members = common.written(groups.join(blocks, "root").select(F.col("root").alias("key"), "node", "blocks"), "members")
+
+    def links(places: DataFrame) -> DataFrame:
+        wanted = common.written(places.join(reps.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")), "node"), "places")
+        text = docs.withColumn("_th", F.xxhash64("text")).join(_small(wanted), (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        return true_links(_met(text.select(*PLACE, "text")), words, percent)
+
+    joined = _connected(members, links)
+    common.discard(members, groups)
+    own = joined.join(reps.select("node", "doc_id"), "node")
+    component = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("node", "root", "component", F.lit(True).alias("linked"))
+    found = reps.join(component, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = common.written(found, "found")
+    # Rows of a class of very many copies, and rows without shingles, don't move to one task to get their component.
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "set_a", "root"]
+    rows = max(1, named.count())
+    of_set = found.select(F.col("node").alias("set_a"), "copies", "root", "component_id")
+    hot = F.broadcast(of_set.filter(F.col("copies") * HOT_CLASS >= rows))
+    full = named.filter("n_shingles > 0")
+    empty = named.filter("n_shingles = 0").select(*columns[:3], F.col("doc_id").alias("component_id"), "set_a", F.lit(None).cast("long").alias("root"))
+    return full.join(hot, "set_a").select(columns).unionByName(full.join(hot, "set_a", "left_anti").join(of_set, "set_a").select(columns)).unionByName(empty)
 
 
 def op7_ngram_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,25 +399,22 @@ def op7_ngram_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component, the one whose doc_id is least; its columns stay.
+    """``docs`` with one row of each component, the one whose doc_id is least (rows without one come last, then the least hash of the text); its columns stay.
 
-    The doc_ids that go are broadcast up to BROADCAST_IDS of them; beyond, they meet the documents in a shuffled anti-join. Of rows that
-    share a doc_id and a component, one stays. Rows without a doc_id stay.
+    Rows without shingles stay. Of rows with equal doc_id and text, one stays, the first by the plain columns. Any columns may be there besides, of any names. The rows that go are known by doc_id and a hash of the
+    text; up to BROADCAST_IDS of them are broadcast, beyond that they meet the documents in a shuffled anti-join.
     """
-    near = common.written(near_duplicates(docs, words, percent).filter("doc_id is not null"), "near")
-    gone = near.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = near.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
-    single = common.written(gone.union(repeated).distinct(), "gone")
-    kept = docs.join(F.broadcast(single) if single.count() <= BROADCAST_IDS else single, "doc_id", "left_anti").select(docs.columns)
-    if repeated.isEmpty():
+    near = common.written(near_duplicates(docs, words, percent).filter("n_shingles > 0").select("root", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash").alias("row")), "near")
+    rows = near.groupBy("root", "row").agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min("row").alias("best"))
+    h, i, a, n = common.free_names(docs, "_text_hash", "_doc_id", "_hash", "_n")
+    judged = common.written(rows.join(best, "root").filter("n > 1 or row <> best").select(F.col("row.doc_id").alias(i), F.col("row.text_hash").alias(a), (F.col("row") == F.col("best")).alias(n)).distinct(), "judged")
+    known = docs.withColumn(h, F.xxhash64("text"))
+    same = (F.col(h) == F.col(a)) & F.col("doc_id").eqNullSafe(F.col(i))
+    kept = known.join(_small(judged), same, "left_anti").select(docs.columns)
+    several = judged.filter(F.col(n))
+    if several.isEmpty():
         return kept
-    several = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
-    schema = T.StructType([*several.schema.fields, T.StructField("_set", T.LongType())])
-
-    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in common.slices(batches, "text"):
-            yield part.append_column("_set", pa.array([set_hash(s) for s in textvec.shingle_sets(texts, words)], pa.int64()))
-
-    named = several.mapInArrow(with_set, schema).join(near.select(F.col("doc_id").alias("_id"), F.col("set_a").alias("_a"), "component_id").distinct(), (F.col("doc_id") == F.col("_id")) & (F.col("_set") == F.col("_a")))
-    first = named.filter("doc_id = component_id").withColumn("_first", F.row_number().over(Window.partitionBy("component_id").orderBy("text"))).filter("_first = 1")
-    return kept.unionByName(first.select(docs.columns))
+    order = [c for c, t in docs.dtypes if not t.startswith(("map", "struct", "array", "variant"))]
+    repeated = known.join(_small(several), same).withColumn(n, F.row_number().over(Window.partitionBy(i, a).orderBy(*[F.col(f"`{c}`") for c in order]))).filter(F.col(n) == 1)
+    return kept.unionByName(repeated.select(docs.columns))

@@ -8,15 +8,18 @@ from words import prose
 from gleanery.llm import components, ngram_join, textvec
 
 
+ALL = 1 << 64
+
+
 def shingles(text, k=4):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r " else c for c in low).split(" ") if w]
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=85, words=4):
     """doc_id -> component over all pairs of rows."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, words) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -67,6 +70,21 @@ def corpus(rng):
     for i in range(40):
         add(" ".join(chain[i : i + 60]))
     rows += [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "x" * 5000), (n + 3, "x" * 5000), (None, rows[0][1])]
+    n += 4
+    # A row without a doc_id links two others, and several share one; a doc_id stands for two texts; long near copies; many near copies of one text.
+    bridge = prose(rng, 100).split()
+    rows += [(n, " ".join(bridge[:90])), (None, " ".join(bridge[4:94])), (None, " ".join(bridge[4:94])), (n + 1, " ".join(bridge[8:98]))]
+    rows += [(n + 2, prose(rng, 30)), (n + 2, " ".join(bridge[2:90])), (n + 2, " ".join(bridge[2:90])), (None, prose(rng, 40)), (None, None)]
+    n += 3
+    long = prose(rng, 30_000).split()
+    rows += [(n, " ".join(long)), (n + 1, " ".join(long[:27_000])), (None, " ".join(long[:27_500] + ["x"]))]
+    n += 2
+    hot = prose(rng, 80).split()
+    for i in range(90):
+        own = list(hot)
+        for k in range(rng.randrange(4)):
+            own[rng.randrange(80)] = f"own{i}k{k}"
+        rows.append((n + i if i % 9 else None, " ".join(own)))
     return rows
 
 
@@ -74,10 +92,16 @@ def corpus(rng):
 def test_components_equal_brute_force(spark, rng, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks: groups and keys span several
     rows = corpus(rng)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'k' as key")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'k' as key", "2 as _h", "3 as component_id")
     assert found(ngram_join.near_duplicates(docs)) == brute(rows)
 
 
+def test_components_at_other_thresholds(spark, rng):
+    rows = corpus(rng)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(ngram_join.near_duplicates(docs, 5, 80)) == brute(rows, 80, 5)
+
+
 def test_empty(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -87,8 +111,8 @@ def test_linked_sets_share_a_key():
     stop = np.zeros(0, np.uint64)
     for trial in range(4000):
         n = int(rng.integers(6, 90))
-        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        more = rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 6)), dtype=np.uint64)
+        base = np.unique(rng.integers(0, ALL, n, dtype=np.uint64))
+        more = rng.integers(0, ALL, int(rng.integers(0, 1 + n // 6)), dtype=np.uint64)
         other = np.unique(np.concatenate([base[int(rng.integers(0, 1 + n // 8)) :], more]))
         both = len(np.intersect1d(base, other))
         if trial % 3 == 0:
@@ -102,7 +126,7 @@ def test_trees_find_all_links():
     rng = np.random.default_rng(6)
     sets = []
     for _ in range(40):
-        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 120)), dtype=np.uint64))
+        base = np.unique(rng.integers(0, ALL, int(rng.integers(1, 120)), dtype=np.uint64))
         sets += [base[rng.random(len(base)) > cut] for cut in (0, 0.02, 0.05, 0.1, 0.2)]
     sets = [s for s in sets if len(s)]
 
@@ -142,10 +166,10 @@ def test_connected_components(spark):
 
 
 def test_keep_one(spark, rng):
-    text, other = prose(rng, 50), prose(rng, 50)
-    rows = [(3, text, "a"), (1, text + " more", "b"), (2, other, "c"), (2, other, "c"), (2, text, "d"), (7, None, "e"), (None, text, "f"), (8, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    text, other, alone = prose(rng, 50), prose(rng, 50), prose(rng, 50)
+    rows = [(3, text, "a"), (1, text + " more", "b"), (2, other, "c"), (2, other, "c"), (2, text, "d"), (7, None, "e"), (None, text, "f"), (8, "", None), (None, alone, "g"), (None, alone, "g"), (None, None, "h"), (None, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string").selectExpr("*", "9 as _text_hash", "9 as _doc_id", "9 as _Hash", "9 as _n", "9 as root", "9 as component_id")
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(kept.collect(), key=str) == sorted([rows[1], rows[2], rows[5], rows[6], rows[7]], key=str)
+    assert sorted((tuple(r)[:3] for r in kept.collect()), key=str) == sorted([rows[i] for i in (1, 2, 5, 7, 8, 10, 11)], key=str)
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
