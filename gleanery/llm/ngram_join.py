@@ -199,12 +199,33 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
 
 
 def possible_pairs(sizes: list[list[int]], maps: list[list[bytes]], percent: int = PERCENT, labels: list[int] | None = None) -> list[tuple[int, int]]:
-    """The same for sets known by their sizes and bitmaps alone: pairs count as linked when the bitmaps allow it. One or two sides."""
-    width = min(len(m) for side in maps for m in side)
-    n = [np.array(s) for s in sizes]
-    own = [np.array([folded(np.frombuffer(m, np.uint8), width) for m in side]) for side in maps]
-    trees = [Tree(m, s, np.ascontiguousarray(m[:, :8]).view(np.uint64)[:, 0]) for m, s in zip(own, n)]
-    return connect(trees[0], trees[1] if len(trees) > 1 else None, lambda i, j, least: True, percent, labels)
+    """The same for sets known by their sizes and bitmaps alone: pairs count as linked when the bitmaps allow it. One or two sides.
+
+    Sets whose sizes are apart by powers of two have trees of their own, so no wide bitmap is folded to the width of a much smaller set.
+    """
+    single, shift = len(sizes) == 1, len(sizes[0])
+    bands: list[dict[int, list[int]]] = [{}, {}]
+    for side, own in enumerate(sizes):
+        for i, n in enumerate(own):
+            bands[side].setdefault(n.bit_length() - 1, []).append(i)
+
+    def tree(side: int, rows: list[int], width: int) -> Tree:
+        m = np.array([folded(np.frombuffer(maps[side][i], np.uint8), width) for i in rows])
+        return Tree(m, np.array([sizes[side][i] for i in rows]), np.ascontiguousarray(m[:, :8]).view(np.uint64)[:, 0])
+
+    found: list[tuple[int, int]] = []
+    other = 0 if single else 1
+    for c, left in bands[0].items():
+        for d, right in bands[other].items():
+            if single and d < c or 100 * ((2 << min(c, d)) - 1) < percent << max(c, d):
+                continue
+            within = single and c == d
+            every = left if within else left + [i + (0 if single else shift) for i in right]
+            if len(every) > 1:
+                width = min(*(len(maps[0][i]) for i in left), *(len(maps[other][i]) for i in right), LARGEST_MAP)
+                pairs = connect(tree(0, left, width), None if within else tree(other, right, width), lambda i, j, least: True, percent, labels and [labels[i] for i in every])
+                found += [(every[i], every[j]) for i, j in pairs]
+    return found
 
 
 def _pair_possible(n: int, one: bytes, m: int, two: bytes, percent: int) -> bool:
