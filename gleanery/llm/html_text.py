@@ -2,9 +2,10 @@
 
 A page becomes a tree: missing end tags are implied (p before a block; li, dt, dd, option, cells and rows before their like), missing rows too. Then all
 visible text is rendered. Hidden: head, script, style, template, noscript, iframe, object, select lists' and media's inner text, comments, elements with the
-``hidden`` attribute, ``aria-hidden=true``, ``display: none`` or ``visibility: hidden``, and hidden inputs. Blanks collapse outside pre and textarea. Blocks start on lines of their own; paragraphs,
+``hidden`` attribute, ``aria-hidden=true`` or ``display: none``, and hidden inputs; with ``visibility: hidden`` an element's own text, which what is below it inherits until it says otherwise. Blanks collapse outside pre and textarea. Blocks start on lines of their own; paragraphs,
 headings, lists and tables stand apart by an empty line; list items have bullets or numbers and are indented by depth; table cells are
-padded to the width of their column and parted by `` | ``. What stands in a table but in no cell comes before it; forms and the like in a table are looked through for rows and cells.
+padded to the width of their column and parted by `` | ``; a cell that spans rows or columns keeps its place free below and beside it, in columns where a cell begins. Tables nested deeper than
+TABLE_DEPTH give their cells as plain blocks, and nothing is indented by more than INDENT. The time is linear in the page, whatever its depth. What stands in a table but in no cell comes before it; forms and the like in a table are looked through for rows and cells.
 
 A null or empty page has the empty text. Repeated rows are rendered each. An empty table gives no rows. Other columns are ignored.
 """
@@ -35,17 +36,28 @@ ENDS = {
 #: What may stand in a head; any other start tag closes it.
 IN_HEAD = frozenset("title meta link style script base template noscript noframes".split())
 CELLS, SECTIONS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
-STYLE_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Tables nested deeper than this are rendered as plain blocks.
 TABLE_DEPTH = 8
+INDENT = 80
+#: Fixed values of HTML: the widest colspan and rowspan.
+COLSPAN, ROWSPAN = 1000, 65534
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "seen", "shown")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    def __init__(self, tag: str, attrs: dict[str, str], seen: bool = True):
+        """``seen``: the parent's text is visible; then ``seen`` is the node's own, and ``shown`` is whether it is there at all."""
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.shown, self.seen = tag not in HIDDEN, seen
+        if attrs:
+            style = {m[1].lower(): m[2].lower() for m in STYLE.finditer(attrs["style"])} if "style" in attrs else {}
+            if "hidden" in attrs or attrs.get("aria-hidden") == "true" or style.get("display") == "none" or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
+                self.shown = False
+            if style.get("visibility") in ("hidden", "collapse", "visible"):
+                self.seen = style["visibility"] == "visible"
 
 
 class Builder(HTMLParser):
@@ -53,21 +65,26 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        #: Places of each tag's open elements, so that no search walks the open elements.
+        self.at: dict[str, list[int]] = {"html": [0]}
+
+    def _last(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def _cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.at[node.tag].pop()
+        del self.open[i:]
 
     def _end(self, names: set[str], fence: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in names:
-                del self.open[i:]
-                return self._end(names, fence)
-            if self.open[i].tag in fence:
-                return None
-        return None
+        while (i := self._last(names)) > 0 and i > self._last(fence):
+            self._cut(i)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag in BLOCK:
@@ -76,14 +93,15 @@ class Builder(HTMLParser):
                 self._push("tr", {})
         self._push(tag, {k: v or "" for k, v in attrs})
         if tag in VOID:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.open[-1].seen)
         self.open[-1].children.append(node)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
@@ -91,24 +109,16 @@ class Builder(HTMLParser):
             self.handle_starttag("br", [])
             return
         fence = {"td", "th"} if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html") else set()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in fence:
-                return
+        i = self._last({tag})
+        if i > 0 and i >= self._last(fence):
+            self._cut(i)
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
-def hidden(node: Node) -> bool:
-    a = node.attrs
-    return node.tag in HIDDEN or (bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden") or ("style" in a and STYLE_HIDES.search(a["style"]) is not None)))
-
-
 class Page:
     """Lines under way: an indent, a first-line mark for list items, and how many line ends are due before the next text."""
 
@@ -138,7 +148,7 @@ class Page:
             self.lines.append("")
         self.due_empty = False
         self.space = False
-        self.line.append(" " * max(0, self.indent - len(self.mark)) + self.mark)
+        self.line.append(" " * max(0, min(self.indent, INDENT) - len(self.mark)) + self.mark)
         self.mark = ""
 
     def exact(self, data: str) -> None:
@@ -170,7 +180,7 @@ def holders(table: Node) -> set[int]:
         child = next(path[-1][1], None)
         if child is None:
             path.pop()
-        elif isinstance(child, Node) and child.tag != "table" and not hidden(child):
+        elif isinstance(child, Node) and child.tag != "table" and child.shown:
             if child.tag == "tr" or child.tag in CELLS:
                 for node, _ in reversed(path):
                     if id(node) in found:
@@ -189,16 +199,20 @@ def table_parts(table: Node) -> tuple[list[list[Node]], list[Node], list[Node |
     through = holders(table)
     row: list[Node] | None = None
     below = [(table, iter(table.children))]
+    inside = 0
     while below:
         node, children = below[-1]
         child = next(children, None)
         if child is None:
             below.pop()
-            if node.tag == "tr" and not any(n.tag == "tr" for n, _ in below):
-                row = None
+            if node.tag == "tr":
+                inside -= 1
+                if not inside:
+                    row = None
         elif isinstance(child, str):
-            rest.append(child)
-        elif hidden(child):
+            if node.seen:
+                rest.append(child)
+        elif not child.shown:
             continue
         elif child.tag in CELLS:
             if row is None:
@@ -208,9 +222,11 @@ def table_parts(table: Node) -> tuple[list[list[Node]], list[Node], list[Node |
         elif child.tag == "caption":
             captions.append(child)
         elif child.tag == "tr" or child.tag in SECTIONS or id(child) in through:
-            if child.tag == "tr" and not any(n.tag == "tr" for n, _ in below):
-                row = []
-                rows.append(row)
+            if child.tag == "tr":
+                if not inside:
+                    row = []
+                    rows.append(row)
+                inside += 1
             rest.append(" ")
             below.append((child, iter(child.children)))
         else:
@@ -218,26 +234,41 @@ def table_parts(table: Node) -> tuple[list[list[Node]], list[Node], list[Node |
     return rows, captions, rest
 
 
+def span(cell: Node, name: str, most: int) -> int:
+    n = cell.attrs.get(name, "1")
+    return max(1, min(int(n[:6]), most)) if n.isdigit() and n.isascii() else 1
+
+
 def render_table(found: list[list[Node]], depth: int) -> list[str]:
-    rows = []
+    rows: list[list[tuple[int, list[str]]]] = []
+    taken: dict[int, int] = {}  # column -> rows that a cell further up still holds there
     for row in found:
-        cells: list[list[str]] = []
+        at, cells, held = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row:
-            cells.append(render(cell, depth + 1))
-            span = cell.attrs.get("colspan", "1")
-            cells += [[]] * (min(int(span), 100) - 1 if span.isdigit() and span.isascii() else 0)
-        if any(cells):
-            rows.append(cells)
-    widths: list[int] = []
+            while taken.get(at):
+                at += 1
+            cells.append((at, render(cell, depth + 1)))
+            wide, high = span(cell, "colspan", COLSPAN), span(cell, "rowspan", ROWSPAN)
+            if high > 1:
+                held.update(dict.fromkeys(range(at, at + wide), high - 1))
+            at += wide
+        if row:
+            taken = held
+        rows.append(cells)
+    rows = [cells for cells in rows if any(lines for _, lines in cells)]
+    column = {c: i for i, c in enumerate(sorted({c for cells in rows for c, _ in cells}))}
+    widths = [0] * len(column)
     for cells in rows:
-        for i, lines in enumerate(cells):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], *map(len, lines), 0) if lines else widths[i]
+        for c, lines in cells:
+            widths[column[c]] = max(widths[column[c]], *map(len, lines), 0)
     out = []
     for cells in rows:
-        for k in range(max(map(len, cells))):
-            out.append(" | ".join((lines[k] if k < len(lines) else "").ljust(widths[i]) for i, lines in enumerate(cells)).rstrip(" "))
+        for k in range(max(len(lines) for _, lines in cells)):
+            line = [" " * w for w in widths[: column[cells[-1][0]] + 1]]
+            for c, lines in cells:
+                if k < len(lines):
+                    line[column[c]] = lines[k].ljust(widths[column[c]])
+            out.append(" | ".join(line).rstrip(" "))
     return out
 
 
@@ -245,6 +276,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
     """The lines of what is below ``root``; one stack instead of recursion, so depth does no harm."""
     page = Page()
     stack: list[tuple[Node, Iterator, bool, dict]] = [(root, iter(root.children), root.tag in ("pre", "textarea"), {"n": 0})]
+    items = int(root.tag == "li")
     while stack:
         node, children, exact, state = stack[-1]
         child = next(children, None)
@@ -255,18 +287,20 @@ def render(root: Node, depth: int = 0) -> list[str]:
                 page.indent -= state.get("in", 0)
                 if node.tag == "li":
                     page.mark = ""
+                    items -= 1
             continue
         if isinstance(child, str):
-            page.exact(child) if exact else page.text(child)
+            if node.seen:
+                page.exact(child) if exact else page.text(child)
             continue
-        if hidden(child):
+        if not child.shown:
             continue
         tag, below = child.tag, {"n": 0}
         if tag == "br":
             page.end(keep=True)
             continue
         if tag in BLOCK:
-            nested = tag in ("ul", "ol", "menu") and any(n.tag == "li" for n, *_ in stack)
+            nested = tag in ("ul", "ol", "menu") and items > 0
             below["nested"] = nested
             page.block(tag in APART and not nested)
         if tag == "table" and depth < TABLE_DEPTH:
@@ -288,10 +322,14 @@ def render(root: Node, depth: int = 0) -> list[str]:
             below["n"] = int(start) - 1 if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 0
         if tag == "li":
             state["n"] += 1
-            page.mark = f"{state['n']}. " if node.tag == "ol" else "- "
-            below["in"] = len(page.mark)
+            items += 1
+            mark = f"{state['n']}. " if node.tag == "ol" else "- "
+            page.mark = mark if child.seen else ""
+            below["in"] = len(mark)
             page.indent += below["in"]
-        if tag == "img" and child.attrs.get("alt", "").strip():
+        if not child.seen:
+            pass
+        elif tag == "img" and child.attrs.get("alt", "").strip():
             page.text(child.attrs["alt"])
         elif tag == "input" and child.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search") and child.attrs.get("value"):
             page.text(child.attrs["value"])

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from gleanery.llm import html_text
 from gleanery.llm.html_text import visible_text
 
@@ -45,6 +49,51 @@ def test_text_of_tables_outside_cells():
     assert visible_text(deep) == "x"
 
 
+def test_visibility():
+    assert visible_text('<p style="backface-visibility:hidden">a<p style="color:red;visibility : hidden">b<b style="VISIBILITY:visible">c</b>d<i>e</i>') == "a\n\nc"
+    assert visible_text('<ul style="visibility:hidden"><li>x<li style="visibility:visible">y</ul><img alt=z style="visibility:hidden"><p style="not-display:none">q') == "- y\n\nq"
+    assert visible_text('<table style="visibility:collapse">s<tr><td>t<td style="visibility:visible">u</table>') == " | u"  # a cell without visible text keeps its place
+
+
+def test_spans():
+    assert visible_text("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A | B\n  | C"
+    assert visible_text("<table><tr><td colspan=2>AA<td>B<tr><td>c<td>d<td>e<tr><td colspan=900>f<td>g</table>") == "AA |   | B\nc  | d | e\nf  |   |   | g"
+    assert visible_text("<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") == "a | b | c\nd |   | e\nf |   | g"
+    wide = "<table>" + "<tr><td colspan=1000 rowspan=9>x<td>y" * 50 + "</table>"
+    assert len(visible_text(wide)) < 100_000
+
+
+def test_time_is_linear_in_depth():
+    def seconds(page):
+        began = time.process_time()
+        visible_text(page)
+        return time.process_time() - began
+
+    for piece in ("<div>x</span></p>", "<ul><li>x", "<b>x<section></i>", "<p><span><li>x", "<dl><dt>x<span>"):
+        assert seconds(piece * 16_000) < 12 * max(0.02, seconds(piece * 4_000)), piece
+
+
+def test_random_trees_keep_every_visible_word():
+    rng = random.Random(3)
+    tags = "div p ul ol li table tr td th tbody form span b section h2 dl dt dd blockquote pre a select option caption body".split()
+    hides = ("hidden", "style='display:none'", "aria-hidden=true")
+    for _ in range(400):
+        shown, hidden, out, n = [], [], [], 0
+        for _ in range(rng.randrange(60)):
+            n += 1
+            if rng.random() < 0.1:
+                # A hidden element that ends where its own text ends.
+                hidden.append(f"w{n}x")
+                out.append(f"<span {rng.choice(hides)}>w{n}x</span>")
+            elif rng.random() < 0.4:
+                shown.append(f"w{n}x")
+                out.append(f" w{n}x ")
+            else:
+                out.append(f"<{rng.choice(('', '', '/'))}{rng.choice(tags)}>")
+        found = re.findall(r"w[0-9]+x", visible_text("".join(out)))
+        assert sorted(found) == sorted(shown), "".join(out)
+
+
 def test_frame(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (2, None, None), (3, "u", ""), (None, "u", "<b>y</b>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' as text")
