@@ -30,6 +30,8 @@ from gleanery.llm import common
 KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
 BASE = 3
 WINDOW = 256
+#: Up to so many spans and masked texts are broadcast.
+MASKED = 500_000
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 #: A run that is long enough; shorter runs would be dropped, and runs of one class can't overlap.
@@ -118,26 +120,40 @@ def find_secrets(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", window: int = WINDOW) -> DataFrame:
-    """``docs`` with each stretch of reported spans replaced by ``mask``, and n_chars (if there) set anew.
+    """``docs`` with each stretch of reported spans replaced by ``mask``, and n_chars (if there) set anew. Only texts with spans change; other columns may have any names.
 
-    Only texts with spans change. Spans are found once for each (doc_id, text) and meet their rows in a null-safe equi-join.
+    Spans are found once for each (doc_id, text). Up to MASKED of such texts are broadcast by hash and place, so that texts stay where they are; beyond, they meet their rows
+    in a shuffled null-safe equi-join. A text is cut in one pass, whatever the number of its spans.
     """
-    spans = linked(parts(docs), window).filter("kind >= 0").groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    columns = docs.columns
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
-    merge = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    cut = joined.withColumn("_cut", F.when(F.col("_spans").isNotNull(), merge))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat(F.col("_cut.out"), F.substr("text", F.col("_cut.at") + 1, F.length("text"))))
-    out = cut.withColumn("_text", text)
-    new = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))} if "n_chars" in columns else {})
-    return out.select([new.get(c, F.col(c)).alias(c) for c in columns])
+    found = linked(parts(docs), window).filter("kind >= 0").groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    i, h, known, own = common.free_names(docs, "_id", "_h", "_spans", "_hash")
+    spans = common.written(found.select(F.col("doc_id").alias(i), F.col("_hash").alias(h), F.col("spans").alias(known)), "spans")
+    few = (spans.agg(F.sum(F.size(known) + 1)).first()[0] or 0) <= MASKED
+    joined = docs.withColumn(own, F.xxhash64("text")).join(F.broadcast(spans) if few else spans, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left").drop(i, h, own)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in common.slices(batches, "text"):
+            names = part.schema.names
+            listed = part.column(names.index(known)).to_pylist()
+            columns = {n: part.column(k) for k, n in enumerate(names) if n != known}
+            if any(listed):
+                new = [_masked(t, s, mask) if s else t for t, s in zip(texts, listed)]
+                old = columns["text"].is_null().to_pylist()
+                columns["text"] = pa.array([None if null else t for t, null in zip(new, old)], pa.string())
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, listed, columns["n_chars"].to_pylist())], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return joined.mapInArrow(cut, docs.schema)
+
+
+def _masked(text: str, spans: list[dict[str, int]], mask: str) -> str:
+    at, out = 0, []
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], mask]
+        at = max(at, s["end"])
+    return "".join(out) + text[at:]
 
 
 def op5_secrets_linked(spark: SparkSession, sf_dir: str) -> DataFrame:

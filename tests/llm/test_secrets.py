@@ -96,3 +96,16 @@ def test_redact(spark, odd_docs):
     assert out.columns == docs.columns
     assert sorted(out.collect(), key=str) == sorted([(1, "a [SECRET] b", 12, "s"), (1, "a [SECRET] b", 12, "s"), (1, "other text", 10, "s"), (None, "x [SECRET]'", 11, "s"), (2, None, None, None)], key=str)
     assert secrets.redact(odd_docs).exceptAll(odd_docs).count() == 0
+    clashing = docs.selectExpr("*", "7 as _hash", "7 as _h", "7 as _ID", "array(7) as _spans", "7 as _cut", "7 as kind")
+    assert secrets.redact(clashing).columns == clashing.columns
+    assert sorted(tuple(r)[:4] for r in secrets.redact(clashing).filter("doc_id = 1").collect()) == [(1, "a [SECRET] b", 12, "s")] * 2 + [(1, "other text", 10, "s")]
+    assert {(r._hash, r._h, r._ID, tuple(r._spans), r._cut, r.kind) for r in secrets.redact(clashing).collect()} == {(7, 7, 7, (7,), 7, 7)}
+
+
+def test_redact_of_many_spans_and_without_broadcast(spark, monkeypatch):
+    text = "".join(f"w{i} token=abcdefgh{i} " for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "clean")], "doc_id long, text string")
+    wanted = {1: "".join(f"w{i} [SECRET] " for i in range(20_000)), 2: None, 3: "clean"}
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == wanted
+    monkeypatch.setattr(secrets, "MASKED", 0)
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == wanted
