@@ -5,12 +5,13 @@ of the vector. A task builds a shard's graph: nodes draw their top level by a ha
 nearest nodes by the diversity rule, then links back are added. Each level is one flat array of neighbour numbers (fixed width, -1 for none). The
 last place on level 0 is a ring through all nodes, so every node can be reached. Graphs are rows of an index table in the shared folder.
 
-Queries come in blocks; a row of the search is a shard's graph and a block. All queries of a block descend together: greedy steps on the upper
-levels, then a beam of EF nodes on level 0. Found nodes are scored again in double precision on the original vectors, and the shards' results are merged.
+Queries come in blocks of QUERY_ROWS. A task reads a shard's graph once and then up to PART_BLOCKS blocks of queries; all queries of a block descend together: greedy steps on the upper
+levels, then a beam of EF nodes on level 0. Graphs are walked in single precision on vectors scaled to norms of at most 1; found nodes are scored again in double precision on the
+original vectors, and the shards' results are merged. Every query meets every shard of its dimension, so the work grows with queries times shards.
 
 Nearness is the largest inner product. For building, vectors get one more component that makes their norms equal, so that long vectors don't become everyone's neighbour.
 Only vectors of equal length are compared. Null, zero, empty vectors and those with null or non-finite components take no part, nor do rows without a vec_id. Repeated
-rows are candidates each, but rows with the query's own vec_id are not its candidates. An empty table gives no rows. Other columns are ignored.
+rows are candidates each. Of rows that share a vec_id the one with the least vector asks; its candidates are all other rows, those of its own vec_id too. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from gleanery.llm import common
 
 K = 20
 SHARD_ROWS = 16_384
-QUERY_ROWS = 512
+QUERY_ROWS, PART_BLOCKS = 256, 32
+#: Up to so many dimensions are broadcast with their numbers of shards; beyond, they meet the vectors in a shuffled join.
+BROADCAST_DIMS = 10_000
 #: Links of a node above and on level 0, nearest nodes that they are chosen from, beam width, nodes expanded in a step.
 M, M0, CHOICE, EF, EXPAND = 16, 32, 64, 320, 4
 
@@ -161,20 +164,39 @@ class Graph:
         return np.where(np.take_along_axis(sims, order, 1) > -np.inf, np.take_along_axis(ids, order, 1), -1)
 
 
+def scaled(x: np.ndarray, each: bool) -> np.ndarray:
+    """Rows of ``x`` in single precision, divided by the largest norm (or each by its own), without overflow on the way."""
+    x = x.astype(np.float64)
+    top = np.abs(x).max(axis=1, keepdims=True, initial=0)
+    top = top if each else top.max(initial=0, keepdims=True)
+    x = np.divide(x, top, out=np.zeros_like(x), where=top > 0)
+    norm = np.sqrt((x**2).sum(1, keepdims=True))
+    norm = norm if each else norm.max(initial=0, keepdims=True)
+    return np.ascontiguousarray(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype(np.float32))
+
+
 def usable(vector: Column) -> Column:
     """True for vectors that take part."""
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
+def _vectors(rows: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
+    """(name, vector) of rows that take part; single precision stays, any other kind is double."""
+    kind = "float" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    return rows.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).cast(f"array<{kind}>").alias("vector")).filter(F.col(name).isNotNull() & usable(F.col("vector")))
+
+
 def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The index table: dim, shard, nodes' ids (flat, with their counts), vectors, and the graph's arrays; a row for each shard."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = _vectors(vectors, id_col, vector_col, "vec_id")
+    kind = rows.schema["vector"].dataType.simpleString()
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     nodes = rows.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = common.written(nodes.withColumn("dim", F.size("vector")), "nodes")
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
-    placed = nodes.join(F.broadcast(shards.limit(100_000)), "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    shards = common.written(nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards")), "shards")
+    placed = nodes.join(F.broadcast(shards) if shards.count() <= BROADCAST_DIMS else shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    flat_type = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -183,60 +205,80 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         order = np.array([i for _, i in found])
         flat = table["vector"].combine_chunks()
         x = flat.flatten().to_numpy().reshape(-1, dim)[order]
-        graph = Graph.build(np.ascontiguousarray(x))
+        graph = Graph.build(scaled(x, False))
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()),
             "counts": pa.array([[len(i) for i, _ in found]], pa.list_(pa.int32())), "ids": pa.array([[v for i, _ in found for v in i]], pa.list_(pa.int64())),
-            "vectors": pa.array([x.ravel()], pa.list_(pa.float32())),
+            "vectors": pa.array([x.ravel()], flat_type),
             "levels": pa.array([[len(a) for a in graph.above]], pa.list_(pa.int32())), "above": pa.array([np.concatenate([np.zeros(0, np.int32), *graph.above])], pa.list_(pa.int32())),
             "links": pa.array([np.concatenate([g.ravel() for g in graph.links])], pa.list_(pa.int32())),
         })
 
-    schema = "dim int, shard int, counts array<int>, ids array<long>, vectors array<float>, levels array<int>, above array<int>, links array<int>"
-    return common.written(placed.select("dim", "shard", "ids", "vector").groupBy("dim", "shard").applyInArrow(build, schema), "index")
+    schema = f"dim int, shard int, counts array<int>, ids array<long>, vectors {kind}, levels array<int>, above array<int>, links array<int>"
+    index = common.written(placed.select("dim", "shard", "ids", "vector").groupBy("dim", "shard").applyInArrow(build, schema), "index")
+    common.discard(nodes, shards)
+    return index
+
+
+def _answers(x: np.ndarray, graph: Graph, counts: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score: up to ``k`` candidates of each query in this shard."""
+    near = graph.search(scaled(q, True), max(ef, 2 * k))
+    row, place = np.nonzero(near >= 0)
+    node = near[row, place]
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.einsum("nd,nd->n", x[node].astype(np.float64), q[row].astype(np.float64))
+    begin = np.cumsum(counts) - counts
+    count = counts[node].astype(np.int64)
+    spot = np.repeat(begin[node] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    query, vec, score = np.repeat(query_ids[row], count), ids[spot], np.repeat(score, count)
+    # Of the candidates with the query's own vector and vec_id one is the query's row.
+    pair = np.repeat(np.arange(len(row)), count)
+    own = np.flatnonzero((query == vec) & np.repeat((x[node] == q[row]).all(1), count))
+    other = np.ones(len(query), bool)
+    other[own[np.unique(pair[own], return_index=True)[1]]] = False
+    query, vec, score = query[other], vec[other], score[other]
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    inside = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[inside], vec[inside], score[inside]
 
 
 def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, ef: int = EF, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest found."""
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("vector")).filter(F.col("query_id").isNotNull() & usable(F.col("vector")))
-    asked = asked.dropDuplicates(["query_id"]).withColumn("dim", F.size("vector"))
+    asked = _vectors(queries, id_col, vector_col, "query_id").groupBy("query_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    asked = common.written(asked, "asked")
     blocks = max(1, -(-asked.count() // query_rows))
+    parts = -(-blocks // PART_BLOCKS)
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     blocked = asked.groupBy("dim", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("query_id", "vector"))).alias("asked"))
-    parts = blocked.select("dim", "block", F.col("asked.query_id").alias("query_ids"), F.flatten("asked.vector").alias("query_vectors"))
-    # Each block meets each shard of its dimension.
+    ask = blocked.select("dim", "block", F.col("asked.query_id").alias("query_ids"), F.flatten("asked.vector").alias("query_vectors"))
+    # Each block meets each shard of its dimension; a shard's graph comes first in each of its parts.
     numbers = index.groupBy("dim").agg(F.collect_list("shard").alias("_shards"))
-    spread = parts.join(numbers, "dim").withColumn("shard", F.explode("_shards")).drop("_shards")
-    met = spread.join(index, ["dim", "shard"])
+    spread = ask.join(numbers, "dim").withColumn("shard", F.explode("_shards")).withColumn("part", F.col("block") % parts).drop("_shards")
+    graphs = index.withColumn("block", F.lit(-1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    tasks = max(1, index.count() * parts)
+    met = graphs.unionByName(spread, allowMissingColumns=True).repartition(tasks, "dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "block")
+    arrays = ("counts", "ids", "vectors", "levels", "above", "links")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = graph = own = None
         for batch in batches:
             for r in range(batch.num_rows):
                 value = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
-                flat = {n: value[n].values.to_numpy(zero_copy_only=False) for n in ("counts", "ids", "vectors", "levels", "above", "links", "query_ids", "query_vectors")}
                 dim = value["dim"].as_py()
-                x, q = flat["vectors"].reshape(-1, dim), flat["query_vectors"].reshape(-1, dim)
-                n, sizes = len(x), flat["levels"]
-                above = np.split(flat["above"], np.cumsum(sizes)[:-1]) if len(sizes) else []
-                cuts = np.cumsum([n * M0, *(int(s) * M for s in sizes)])[:-1]
-                links = [part.reshape(-1, M if i else M0) for i, part in enumerate(np.split(flat["links"], cuts))]
-                near = Graph(x, above, links).search(q, max(ef, 2 * k))[:, : 2 * k]
-                row, place = np.nonzero(near >= 0)
-                node = near[row, place]
-                score = np.einsum("nd,nd->n", x[node].astype(np.float64), q[row].astype(np.float64))
-                begin = np.cumsum(flat["counts"]) - flat["counts"]
-                count = flat["counts"][node].astype(np.int64)
-                spot = np.repeat(begin[node] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                query, vec = np.repeat(flat["query_ids"][row], count), flat["ids"][spot]
-                score = np.repeat(score, count)
-                other = query != vec
-                query, vec, score = query[other], vec[other], score[other]
-                order = np.lexsort((vec, -score, query))
-                query, vec, score = query[order], vec[order], score[order]
-                inside = np.arange(len(query)) - np.searchsorted(query, query) < k
-                yield pa.RecordBatch.from_arrays([pa.array(query[inside]), pa.array(vec[inside]), pa.array(score[inside])], ["query_id", "vec_id", "score"])
-
-    found = met.select("dim", "counts", "ids", "vectors", "levels", "above", "links", "query_ids", "query_vectors").mapInArrow(look, "query_id long, vec_id long, score double")
+                if value["block"].as_py() < 0:
+                    own = {n: value[n].values.to_numpy(zero_copy_only=False) for n in arrays}
+                    x = own["vectors"].reshape(-1, dim)
+                    n, sizes = len(x), own["levels"]
+                    above = np.split(own["above"], np.cumsum(sizes)[:-1]) if len(sizes) else []
+                    cuts = np.cumsum([n * M0, *(int(s) * M for s in sizes)])[:-1]
+                    graph = Graph(scaled(x, False), above, [part.reshape(-1, M if i else M0) for i, part in enumerate(np.split(own["links"], cuts))])
+                    continue
+                ids, q = (value[n].values.to_numpy(zero_copy_only=False) for n in ("query_ids", "query_vectors"))
+                found = _answers(x, graph, own["counts"], own["ids"], ids, q.reshape(-1, dim), k, ef)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    found = met.select("dim", "block", *arrays, "query_ids", "query_vectors").mapInArrow(look, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -59,9 +59,28 @@ def test_copies_and_unusable_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     out = found(ann.search(ann.build_index(df, k=5), df.filter("vec_id in (0, 7, 100, 101, 102, 103, 107)"), k=5))
     assert {q: [v for v, _ in r] for q, r in out.items()} == {0: [1, 2, 3, 4, 5], 7: [0, 1, 2, 3, 4], 100: [0, 1, 2, 3, 4]}
+    few = [(1, one), (1, two), (1, two), (2, one)]
+    df = spark.createDataFrame(few, "vec_id long, embedding array<float>")
+    # The least vector asks; its other rows are candidates.
+    assert [v for v, _ in found(ann.search(ann.build_index(df), df.filter("vec_id = 1")))[1]] == [1, 2, 1]
     assert ann.search(ann.build_index(df.limit(0)), df.limit(0)).count() == 0
 
 
+def test_double_precision_and_extreme_values(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6))
+    x[:40] *= 1e150
+    x[40:80] *= 1e-60
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = found(ann.search(ann.build_index(df), df, query_rows=64))
+    wanted = brute(rows, range(300), 20)
+    assert set(out) == set(range(300))
+    assert all(abs(s - t) <= 1e-12 * abs(t) for q in out for (_, s), (_, t) in zip(out[q], wanted[q]))
+    big = spark.createDataFrame([(1, [1e300, 1.0]), (2, [1.0, 1.0]), (3, [1e-60, 0.0])], "vec_id long, embedding array<double>")
+    assert {q: [v for v, _ in r] for q, r in found(ann.search(ann.build_index(big), big)).items()} == {1: [2, 3], 2: [1, 3], 3: [1, 2]}
+
+
 def test_every_node_is_reached():
     x = np.concatenate([np.tile(np.eye(8, dtype=np.float32)[i], (50, 1)) + np.random.default_rng(i).normal(0, 1e-3, (50, 8)).astype(np.float32) for i in range(8)])
     graph = ann.Graph.build(x)
