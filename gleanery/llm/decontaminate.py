@@ -5,7 +5,11 @@ document leaks an item when a region of WINDOW bytes of the item (the whole item
 bytes. Such a region shares at least ``w + 1 - q - q * k`` q-grams with the item, all of them near one diagonal. So q-grams that both
 have are counted in overlapping diagonal bands, bands with too few in any window go, and the rest is verified by banded alignment.
 
-The items' q-grams are broadcast in blocks of at most BLOCK_BYTES of item text; a larger benchmark takes several passes over the documents.
+Windows that share a stretch are verified together: if the stretch alone is beyond the budget, so are they. Counts that would take many rows are taken in parts, by items and by overlapping stretches of the texts.
+
+Items of fewer than ``SHORT`` bytes leave no room for an edit: they are leaked where they stand whole between word bounds.
+
+The items' q-grams are broadcast in blocks of at most BLOCK_BYTES of item text (16 bytes a q-gram in a worker); a benchmark of n bytes takes n // BLOCK_BYTES + 1 passes over the documents.
 Documents are read once a pass and nothing is shuffled.
 
 Null and empty texts leak nothing; null, empty items and items of fewer than ``LEAST`` bytes are too short to tell and are never leaked. Repeated rows are judged each. Empty
@@ -24,9 +28,13 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import common, textvec
 
-Q, WINDOW, PER_EDIT, LEAST = 12, 80, 20, 24
-BLOCK_BYTES = 2_000_000
+Q, WINDOW, PER_EDIT, LEAST, SHORT = 12, 80, 20, 12, 24
+BLOCK_BYTES = 8_000_000
 FILTER_BITS = 22
+#: Rows of q-gram matches counted together, and rows aligned together.
+MATCHES, ALIGNED = 1_000_000, 50_000
+#: The longest stretch of window starts that share one stretch of the item.
+STARTS = 40
 
 _FORM = np.full(256, 32, np.uint8)
 _FORM[128:] = np.arange(128, 256)
@@ -62,12 +70,17 @@ def grams(form: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Sorted q-gram hashes of a block of items, where they stand, and the items."""
+    """A block of items: their bytes one after the other, and their q-grams sorted by hash and item.
+
+    ``keys`` holds the q-gram's rank among ``codes`` (distinct, sorted) and its item; ``place`` is where it begins in the item.
+    """
 
     ids: list
     forms: list[np.ndarray]
+    flat: np.ndarray
+    begin: np.ndarray
     codes: np.ndarray
-    item: np.ndarray
+    keys: np.ndarray
     place: np.ndarray
     seen: np.ndarray
 
@@ -82,100 +95,170 @@ def make_index(items: list[tuple[int, str]]) -> Index:
             ids.append(item_id)
             forms.append(form)
     own = [grams(f) for f in forms]
-    codes = np.concatenate([np.zeros(0, np.uint64), *own])
-    item = np.repeat(np.arange(len(forms)), [len(g) for g in own])
-    place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in own)])
-    order = np.argsort(codes, kind="stable")
+    counts = [len(g) for g in own]
+    every = np.concatenate([np.zeros(0, np.uint64), *own])
+    codes, rank = np.unique(every, return_inverse=True)
+    keys = (rank.astype(np.int64) << 32) | np.repeat(np.arange(len(forms)), counts)
+    place = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in counts)])
+    order = np.argsort(keys, kind="stable")
     seen = np.zeros(1 << FILTER_BITS, bool)
     seen[(codes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(ids, forms, codes[order], item[order], place[order], seen)
+    begin = np.cumsum([0, *(len(f) for f in forms)])
+    return Index(ids, forms, np.concatenate([np.zeros(0, np.uint8), *forms]), begin, codes, keys[order], place[order], seen)
 
 
 def budget(length: int) -> tuple[int, int, int]:
     """Region length, edits allowed, and the least number of shared q-grams for an item of ``length`` bytes."""
     w = min(length, WINDOW)
-    k = w // PER_EDIT
+    k = w // PER_EDIT if length >= SHORT else 0
     return w, k, w + 1 - Q - Q * k
 
 
-def align(item: np.ndarray, starts: np.ndarray, w: int, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """The least edits, and the start with it, of regions item[s : s + w] inside ``text``; diagonals (text place - item place) low to high only.
+def align(item: np.ndarray, starts: np.ndarray, lengths: np.ndarray, text: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, most: int) -> np.ndarray:
+    """The least edits (most + 1 if more) of each region item[start : start + length] inside text[low:high], on ``width`` diagonals from the one where ``start`` meets ``place``.
 
-    All starts and the whole band advance together, one item byte a step. A region may begin and end anywhere in the text.
+    All regions and their bands advance together, one item byte a step; a region over the budget goes. A region may begin and end anywhere in its text.
     """
-    band = np.arange(low, high + 1)
-    far = np.int64(1 << 20)
-    padded = np.concatenate([np.zeros(1, np.uint8), text, np.zeros(1, np.uint8)])
-    cost = np.zeros((len(starts), len(band)), np.int64)  # text place of column c before step t: starts + t + band[c]
-    place = starts[:, None] + band[None, :]
-    cost[(place < 0) | (place > len(text))] = far
-    for t in range(w):
-        place = starts[:, None] + t + band[None, :]
-        letter = padded[np.clip(place + 1, 0, len(padded) - 1)]
-        inside = (place >= 0) & (place < len(text))
-        step = np.where(inside, cost + (letter != item[starts + t][:, None]), far)
+    out = np.full(len(starts), most + 1, np.int64)
+    band = np.arange(width, dtype=np.int16)
+    far = np.int16(1 << 10)
+    rows = np.arange(len(starts))
+    at = places[:, None] + band[None, :]
+    cost = np.where((at < low[:, None]) | (at > high[:, None]), far, np.int16(0))
+    t = 0
+    while len(rows):
+        ended = lengths[rows] == t
+        if ended.any():
+            out[rows[ended]] = np.minimum(cost[ended].min(axis=1), most + 1)
+        alive = ~ended if t % 4 else ~ended & (cost.min(axis=1) <= most)
+        if not alive.all():
+            rows, cost = rows[alive], cost[alive]
+            if not len(rows):
+                break
+        at = places[rows, None] + (t + band)[None, :]
+        lo, hi = low[rows, None], high[rows, None]
+        inside = (at >= lo) & (at < hi)
+        step = np.where(inside, cost + (text[np.clip(at, 0, len(text) - 1)] != item[starts[rows] + t][:, None]), far).astype(np.int16)
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)  # an item byte that the text lacks
         step = np.minimum.accumulate(step - band, axis=1) + band  # text bytes that the item lacks
-        outside = (place + 1 < 0) | (place + 1 > len(text))
-        step[outside] = far
+        step[(at + 1 < lo) | (at + 1 > hi)] = far
         cost = step
-    best = cost.min(axis=1)
-    i = int(best.argmin())
-    return int(best[i]), int(starts[i])
+        t += 1
+    return out
 
 
 def leaks(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """(number of the text, number of the item, edits, start of the region in the item, its length), once for each pair."""
+    """(number of the text, number of the item, edits, start of the region in the item, its length), once for each pair: the least edits, then the first region."""
     if not index.forms:
         return []
     form, at = normal(texts)
     codes = grams(form)
     hits = np.flatnonzero(index.seen[(codes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-    first = np.searchsorted(index.codes, codes[hits])
-    last = np.searchsorted(index.codes, codes[hits], side="right")
-    found = last > first
-    hits, first, last = hits[found], first[found], last[found]
-    if not len(hits):
-        return []
+    rank = np.searchsorted(index.codes, codes[hits])
+    known = index.codes[np.minimum(rank, len(index.codes) - 1)] == codes[hits]
+    hits, rank = hits[known], rank[known]
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    todo = [(0, len(index.forms), 0, len(hits))] if len(hits) else []
+    while todo:
+        i0, i1, h0, h1 = todo.pop()
+        own = rank[h0:h1].astype(np.int64) << 32
+        first, last = np.searchsorted(index.keys, own | i0), np.searchsorted(index.keys, own | i1)
+        n = int((last - first).sum())
+        if not n:
+            continue
+        low, high = int(hits[h0]), int(hits[h1 - 1])
+        if n > MATCHES and i1 - i0 > 1:
+            todo += [(i0, (i0 + i1) // 2, h0, h1), ((i0 + i1) // 2, i1, h0, h1)]
+        elif n > MATCHES and high - low > 8 * WINDOW:
+            # Halves overlap by more than any region and its edits.
+            mid = (low + high) // 2
+            todo += [(i0, i1, h0, h0 + int(np.searchsorted(hits[h0:h1], mid + 2 * WINDOW))), (i0, i1, h0 + int(np.searchsorted(hits[h0:h1], mid)), h1)]
+        else:
+            _count(index, form, at, hits[h0:h1], first, last, best)
+    return [(x, y, *v) for (x, y), v in sorted(best.items())]
+
+
+def _count(index: Index, form: np.ndarray, at: np.ndarray, hits: np.ndarray, first: np.ndarray, last: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Add the leaks among matches of the q-grams at ``hits`` with index rows ``first`` to ``last``."""
     n = last - first
     spread = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-    place, item, j = np.repeat(hits, n), index.item[spread], index.place[spread]
+    place, item, j = np.repeat(hits, n), index.keys[spread] & 0xFFFFFFFF, index.place[spread].astype(np.int64)
+    sizes = np.diff(index.begin)
+    whole = (sizes[item] < SHORT) & (j == 0)
+    for p, y in zip(place[whole].tolist(), item[whole].tolist()):
+        f = index.forms[y]
+        if form[p - 1] in (0, 32) and np.array_equal(form[p : p + len(f)], f) and form[p + len(f)] in (0, 32):
+            best[int(np.searchsorted(at, p, side="right")) - 1, y] = (0, 0, len(f))
+    long = sizes[item] >= SHORT
+    place, item, j = place[long], item[long], j[long]
     text = np.searchsorted(at, place, side="right") - 1
-    w, k, least = (np.array(x) for x in zip(*(budget(len(f)) for f in index.forms)))
-    width = 2 * (k + 1)
-    diagonal = place - j + (1 << 40)
-    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    w, k, least = (np.array(x) for x in zip(*(budget(m) for m in sizes.tolist())))
+    diagonal = place - j
+    if not len(diagonal):
+        return
+    pair = text * len(sizes) + item
+    lowest = int(diagonal.min())
+    found: list[np.ndarray] = []
     for shift in (0, 1):  # bands overlap by half: k edits keep to one of them
-        band = (diagonal + shift * (k[item] + 1)) // width[item]
-        order = np.lexsort((j, band, item, text))
-        t, i, b, p = text[order], item[order], band[order], j[order]
-        need = least[i]
+        wide = 2 * (k[item] + 1)
+        band = (diagonal - lowest + shift * (k[item] + 1)) // wide
+        group = pair * (int(band.max()) + 1) + band
+        order = np.lexsort((j, group))
+        g, p = group[order], j[order]
+        need = least[item[order]]
         end = np.arange(len(order)) + need - 1
         ok = end < len(order)
         end = np.where(ok, end, 0)
-        ok &= (t[end] == t) & (i[end] == i) & (b[end] == b) & (p[end] - p <= w[i] - Q)
-        runs = np.flatnonzero(ok)
-        if not len(runs):
-            continue
-        new = np.concatenate([[True], (np.diff(t[runs]) != 0) | (np.diff(i[runs]) != 0) | (np.diff(b[runs]) != 0)])
-        for own in np.split(runs, np.flatnonzero(new)[1:]):
-            x, y = int(t[own[0]]), int(i[own[0]])
-            known = out.get((x, y))
-            if known and known[0] == 0:
-                continue
-            wide, edits = int(w[y]), int(k[y])
-            whole = index.forms[y]
-            low = np.maximum(0, p[own + least[y] - 1] + Q - wide)
-            high = np.minimum(p[own], len(whole) - wide)
-            starts = np.unique(np.concatenate([np.arange(a, z + 1) for a, z in zip(low, high)] or [np.zeros(0, np.int64)]))
-            if not len(starts):
-                continue
-            own_text = form[at[x] : at[x + 1] - 1]
-            mid = int(b[own[0]]) * int(width[y]) - shift * (edits + 1) - (1 << 40) - int(at[x])
-            cost, start = align(whole, starts, wide, own_text, mid - edits, mid + int(width[y]) + edits)
-            if cost <= edits and (not known or cost < known[0]):
-                out[x, y] = (cost, start, wide)
-    return [(x, y, *v) for (x, y), v in sorted(out.items())]
+        ok &= (g[end] == g) & (p[end] - p <= w[item[order]] - Q)
+        own = order[ok]
+        i, p, q = item[own], p[ok], p[end[ok]]
+        low, high = np.maximum(0, q + Q - w[i]), np.minimum(p, sizes[i] - w[i])
+        mid = band[own] * wide[own] - shift * (k[i] + 1) + lowest
+        fits = low <= high
+        g, low, high = g[ok][fits], low[fits], high[fits]
+        if len(g):
+            # Window starts of a text, item and band; low and high ascend, so runs that touch are one.
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(g) != 0) | (low[1:] > high[:-1] + 1)]))
+            found.append(np.stack([text[own][fits][new], i[fits][new], mid[fits][new], low[new], high[np.append(new[1:], len(g)) - 1]]))
+    if not found:
+        return
+    runs = np.concatenate(found, axis=1)
+    pieces = -(-(runs[4] - runs[3] + 1) // STARTS)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    t, i, mid, low, high = np.repeat(runs, pieces, axis=1)
+    low = low + nth * STARTS
+    high = np.minimum(high, low + STARTS - 1)
+    size = high - low + 1
+    shared = np.maximum(0, w[i] + 1 - size)
+    todo = np.argsort(low, kind="stable")
+    chunk = 256
+    while len(todo):
+        own, todo = todo[:chunk], todo[chunk:]
+        chunk *= 4
+        own = own[_edits(index, form, at, t[own], i[own], mid[own], high[own], shared[own], k) <= k[i[own]]]
+        rows = np.repeat(own, size[own])
+        start = low[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+        cost = _edits(index, form, at, t[rows], i[rows], mid[rows], start, w[i[rows]], k)
+        good = cost <= k[i[rows]]
+        rows, cost, start = rows[good], cost[good], start[good]
+        for x, y, c, s, width in zip(t[rows].tolist(), i[rows].tolist(), cost.tolist(), start.tolist(), w[i[rows]].tolist()):
+            if (x, y) not in best or (c, s, width) < best[x, y]:
+                best[x, y] = (c, s, width)
+        if best and len(todo):
+            # Later starts can't be better than an exact region.
+            exact = [best.get(pair, (1,))[:2] for pair in zip(t[todo].tolist(), i[todo].tolist())]
+            todo = todo[[e[0] > 0 or e[1] > s for e, s in zip(exact, low[todo].tolist())]]
+
+
+def _edits(index: Index, form: np.ndarray, at: np.ndarray, t: np.ndarray, i: np.ndarray, mid: np.ndarray, start: np.ndarray, length: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Edits of items' stretches in their texts and bands."""
+    out = np.zeros(len(t), np.int64)
+    for most in np.unique(k[i]).tolist():
+        rows = np.flatnonzero(k[i] == most)
+        for a in range(0, len(rows), ALIGNED):
+            r = rows[a : a + ALIGNED]
+            out[r] = align(index.flat, index.begin[i[r]] + start[r], length[r], form, mid[r] + start[r] - most, at[t[r]], at[t[r] + 1] - 1, 4 * most + 3, most)
+    return out
 
 
 def index_blocks(benchmark: DataFrame) -> Iterator[Index]:

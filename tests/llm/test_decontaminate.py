@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -29,6 +30,10 @@ def brute(items, text):
         f = D.normal([item or ""])[0][1:-1].tobytes().rstrip(b" ")
         if len(f) >= D.LEAST and t:
             w, edits, _ = D.budget(len(f))
+            if len(f) < D.SHORT:
+                if b" " + f + b" " in b" " + t + b" ":
+                    out.add(k)
+                continue
             if any(distance(f[s : s + w], t) <= edits for s in range(len(f) - w + 1)):
                 out.add(k)
     return out
@@ -91,5 +96,37 @@ def test_frames(spark, rng, odd_docs, no_docs, monkeypatch):
 def test_band_walls():
     item = np.frombuffer(b"abcdefghij" * 8, np.uint8)
     text = np.frombuffer(b"xx" + b"abcdefghij" * 8, np.uint8)
-    assert D.align(item, np.array([0]), 80, text, 0, 4)[0] == 0
-    assert D.align(item, np.array([0]), 80, text[:-3], -3, 4)[0] == 3
+
+    def edits(high, place, width):
+        one = lambda x: np.array([x])
+        return D.align(item, one(0), one(80), text, one(place), one(0), one(high), width, 9).tolist()
+
+    assert edits(82, 0, 5) == [0] and edits(79, -3, 8) == [3] and edits(60, 0, 5) == [10]
+
+
+def test_short_items(spark):
+    index = D.make_index([(1, "Who wrote Don Quixote?"), (2, "too short"), (3, "twelve bytes"), (4, "x" * 23)])
+    assert index.ids == [1, 3, 4]
+    texts = ["who wrote, don quixote", "a Who wrote Don Quixote? b", "who wrote don quixotes", "xwho wrote don quixote", "who wrote don quixot", "twelve bytes", "x" * 24, "x" * 23 + "."]
+    assert [(x, index.ids[y], e) for x, y, e, *_ in D.leaks(index, texts)] == [(0, 1, 0), (1, 1, 0), (5, 3, 0), (7, 4, 0)]
+
+
+def test_parts_of_counts_change_nothing(monkeypatch):
+    rng = random.Random(5)
+    items = [(i, "what is the capital of the country of " + prose(rng, 12)) for i in range(40)] + [(90, "ab" * 300)]
+    index = D.make_index(items)
+    texts = [" ".join(rng.choice(items)[1] if rng.random() < 0.3 else prose(rng, 20) for _ in range(30)), "ab" * 2000, "what is the capital of the country of x " * 50]
+    whole = D.leaks(index, texts)
+    monkeypatch.setattr(D, "MATCHES", 3000)
+    monkeypatch.setattr(D, "ALIGNED", 500)
+    assert D.leaks(index, texts) == whole and {index.ids[y] for x, y, *_ in whole if x == 1} == {90}
+
+
+def test_templated_items_are_quick():
+    rng = random.Random(6)
+    stem = "According to the passage above, which of the following is correct"
+    index = D.make_index([(i, f"{stem} {rng.getrandbits(300):x} {rng.getrandbits(300):x}") for i in range(3000)])
+    text = " ".join(stem + " " + prose(rng, 6) for _ in range(10))
+    began = time.process_time()
+    assert D.leaks(index, [text]) == []
+    assert time.process_time() - began < 8  # linear in items and repeats; about a second where nothing else runs
