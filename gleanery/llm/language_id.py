@@ -6,8 +6,8 @@ however many documents it has. A text's outcome for a bit is the mean weight of
 logistic losses of its codeword's bits, weighted by how far apart the bit's two sides are; the nearest codeword wins. The score is the winner's share of the
 softmax over negative losses, and a text whose two nearest codewords are within ``AMBIGUOUS`` of each other is flagged.
 
-Trigram counts come from all labelled rows of the training fold: added up per task and language, then by a groupBy; the result has
-languages * DIMENSIONS rows at most. Prediction is one pass without a shuffle.
+Trigram counts come from all labelled rows of the training fold: added up per task and language, then by a groupBy; a second one adds up the languages' shares for
+each trigram and bit. DIMENSIONS rows of a number a bit come to the driver, and the names of the languages. Prediction is one pass without a shuffle.
 
 A null text, or one without a letter, is ``und`` with score 0, as is every text when nothing can be learnt. Rows with a null lang or null doc_id teach
 nothing. Repeated rows count each. Other columns are ignored, or kept by ``keep_known``.
@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache as memo
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +31,22 @@ SMOOTH = 0.5
 #: Outcomes are multiplied by this before the loss.
 SHARPNESS = 4.0
 AMBIGUOUS = 0.05
-#: More learnt languages than this are refused; the counts on the driver stay bounded.
-MOST_LANGUAGES = 400
+#: Up to so many languages their codewords are broadcast; beyond, they meet the counts in a shuffled join.
+BROADCAST_LANGUAGES = 10_000
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 
 
+def _least_distance(code: np.ndarray) -> int:
+    """The fewest bits in which two rows differ."""
+    x, least = code.astype(np.float32), code.shape[1]
+    for a in range(0, len(x), 512):
+        same = x[a : a + 512] @ x.T
+        same[np.arange(len(same)), np.arange(a, a + len(same))] = -code.shape[1]
+        least = min(least, int((code.shape[1] - same.max()) / 2))
+    return least
+
+
 def codewords(languages: int) -> np.ndarray:
     """A row of +1 and -1 for each language; all bits differ and split the languages.
 
@@ -54,7 +63,7 @@ def codewords(languages: int) -> np.ndarray:
     for seed in range(30):
         code = np.where(np.random.default_rng(seed).random((languages, bits)) < 0.5, -1, 1).astype(np.int8)
         code = code[:, np.abs(code.sum(0)) < languages]
-        apart = min(int((code[a] != code[b]).sum()) for a, b in combinations(range(languages), 2))
+        apart = _least_distance(code)
         if apart > least:
             best, least = code, apart
     return best
@@ -145,22 +154,28 @@ def learn(docs: DataFrame) -> Model:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], ["lang", "gram", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counted.limit(MOST_LANGUAGES * DIMENSIONS + 1).toPandas()
-    languages = sorted(found["lang"].unique())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.zeros((len(languages), DIMENSIONS))
-    table[np.searchsorted(np.array(languages, dtype=str), found["lang"].to_numpy(dtype=str)) if languages else [], found["gram"].to_numpy(np.int64)] = found["n"]
-    share = (table + SMOOTH) / (table + SMOOTH).sum(1, keepdims=True) if languages else table
+    counted = common.written(rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
+    totals = {r["lang"]: r["total"] for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    languages = sorted(totals)
     code = codewords(len(languages))
-    weights, trust = np.zeros((DIMENSIONS, code.shape[1]), np.float32), np.zeros(code.shape[1])
-    for b in range(code.shape[1]):
-        one, zero = share[code[:, b] > 0].mean(0), share[code[:, b] < 0].mean(0)
-        odds = np.log(one / zero)
-        weights[:, b] = odds
-        trust[b] = ((one - zero) * odds).sum()
-    return Model(languages, code, weights, trust / trust.mean() if len(trust) else trust)
+    bits = code.shape[1]
+    if not bits:
+        common.discard(counted)
+        return Model(languages, code, np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
+    full = np.array([totals[x] + SMOOTH * DIMENSIONS for x in languages])
+    words = counted.sparkSession.createDataFrame([(x, float(t), c.tolist()) for x, t, c in zip(languages, full, code)], "lang string, total double, code array<int>")
+    met = counted.join(F.broadcast(words) if len(languages) <= BROADCAST_LANGUAGES else words, "lang").withColumn("share", F.col("n") / F.col("total"))
+    sums = met.groupBy("gram").agg(F.sum("share"), *[F.sum(F.when(F.get("code", F.lit(b)) > 0, F.col("share")).otherwise(0.0)) for b in range(bits)]).toPandas().to_numpy(np.float64)
+    common.discard(counted)
+    every, ones = np.full(DIMENSIONS, (SMOOTH / full).sum()), np.tile(((code > 0) * (SMOOTH / full)[:, None]).sum(0), (DIMENSIONS, 1))
+    gram = sums[:, 0].astype(np.int64)
+    every[gram] += sums[:, 1]
+    ones[gram] += sums[:, 2:]
+    n = (code > 0).sum(0)
+    one, zero = ones / n, (every[:, None] - ones) / (len(languages) - n)
+    odds = np.log(one / zero)
+    trust = ((one - zero) * odds).sum(0)
+    return Model(languages, code, odds.astype(np.float32), trust / trust.mean())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
