@@ -4,8 +4,10 @@ Features of a text: its hashed words, each occurrence with value 1 / words, and
 score is the logistic of ``w0 + sum(w x) + 1/2 sum_f ((sum v_f x)^2 - sum (v_f x)^2)``: all pairwise interactions of low rank, in time linear in the
 number of words.
 
-The machine learns by Adam over mini-batches in one task, from at most TRAIN_ROWS labelled rows (the first in the order of a hash of
-doc_id); their features, not their texts, go there. Scoring is one pass without a shuffle.
+Metadata columns are left out: of those of the documents, lang, source and doc_id may not bear on a score, and n_chars is the text's own length.
+
+The machine learns by Adam over mini-batches in one task, from at most TRAIN_ROWS labelled texts (the first in the order of a hash of
+doc_id); their features, 4 bytes a word, not their texts, go there. Scoring is one pass without a shuffle.
 
 A null text counts as empty and still has a score. Labels other than 0 and 1, null doc_ids and texts that no label names teach nothing; without both labels
 among the training rows every score is the share of ones (1/2 if there are no rows). Repeated rows are scored each. Other columns are ignored.
@@ -139,8 +141,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
-    """From labelled rows outside the held-out fold; at most ``train_rows`` labels are broadcast to pick their texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """label, words, stats of at most ``train_rows`` labelled rows outside the held-out fold; as many labels are broadcast to pick their texts."""
     fold = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = fold.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
@@ -152,6 +154,14 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             wide = pa.FixedSizeListArray.from_arrays(stats.ravel(), len(STATISTICS)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), listed, wide], ["doc_id", "label", "words", "stats"])
 
+    # The limit holds the rows that share a labelled doc_id within the bound as well.
+    found = rows.mapInArrow(look, "doc_id long, label int, words array<int>, stats array<double>")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "stats").limit(train_rows)
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
+    """From training_rows(), in one task."""
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[np.ndarray] = []
         stats: list[np.ndarray] = []
@@ -166,9 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         packed = [np.array([machine.bias]), machine.mean, machine.scale, machine.word_w, machine.word_v.ravel(), machine.stat_w, machine.stat_v.ravel()]
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(packed).tolist()], pa.list_(pa.float64()))], ["machine"])
 
-    # A limit keeps rows that share a labelled doc_id within the bound as well.
-    bounded = rows.mapInArrow(look, "doc_id long, label int, words array<int>, stats array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "stats").limit(2 * train_rows)
-    found = bounded.coalesce(1).mapInArrow(train, "machine array<double>").collect()
+    found = training_rows(docs, labels, train_rows).coalesce(1).mapInArrow(train, "machine array<double>").collect()
     if not found:
         return fit([], np.zeros((0, len(STATISTICS))), np.zeros(0))
     flat, width, size = np.array(found[0][0]), len(STATISTICS), 1 << WORD_BITS

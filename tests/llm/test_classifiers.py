@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -99,12 +100,23 @@ def test_machine_equals_all_pairs():
     assert abs(m.score([text])[0] - 1 / (1 + np.exp(-total))) < 1e-9
 
 
-def test_learning_is_bounded(spark, monkeypatch):
+def test_learning_is_bounded(spark):
     rng = random.Random(4)
     docs = spark.createDataFrame([(i, say(rng, "aa")) for i in range(100)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
-    seen = []
-    real = quality.fit
-    monkeypatch.setattr(quality, "fit", lambda w, s, y, **k: seen.append(len(y)) or real(w, s, y, **k))
+    # Rows of one doc_id and repeated labels stay within the bound too.
+    assert quality.training_rows(docs.union(docs), marks.union(marks), 10).count() == 10
+    assert quality.training_rows(docs, marks, 1000).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(100))
     quality.learn(docs, marks, train_rows=10)
-    assert common.BATCH_ROWS == 1000 and (not seen or max(seen) <= 10)
+
+
+def test_many_languages(spark):
+    rng = random.Random(5)
+    sounds = {f"l{k:03d}": [rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5)] for k in range(450)}
+    rows = [(3 * i + j, " ".join("".join(rng.choice(own) for _ in range(3)) for _ in range(30)), lang) for i, (lang, own) in enumerate(sounds.items()) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert model.languages == sorted({r[2] for r in taught})
+    names = model.predict([r[1] for r in taught])[0]
+    assert sum(n == r[2] for n, r in zip(names, taught)) > 0.85 * len(taught)
