@@ -8,11 +8,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that one vectorised step inside a task looks at together; it bounds a worker's memory.
 SLICE_CHARS = 250_000
 #: Rows of an Arrow batch, where the session leaves Spark's default.
 BATCH_ROWS = 1000
+#: A key of at least this part of all rows is hot.
+HOT_SHARE = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -60,6 +63,15 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` and ``table`` (one row a key; ``weight``: how many of the ``total`` rows have it) joined.
+
+    Keys of at least 1 / HOT_SHARE of the rows, of which there are HOT_SHARE at most, are broadcast, so their rows stay where they are.
+    """
+    hot = F.broadcast(table.filter(F.col(weight) * HOT_SHARE >= max(1, total)))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores in front as keep it apart from the columns of ``df`` (in any case)."""
     taken = {c.lower() for c in df.columns}

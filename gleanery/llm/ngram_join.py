@@ -43,8 +43,6 @@ BLOCK, BLOCK_SHINGLES, LEAF, FANOUT = 2048, 1 << 22, 32, 8
 LARGEST_MAP = 1 << 16
 #: Up to so many rows of ids are broadcast; beyond, they meet the other side in a shuffled join.
 BROADCAST_IDS = 500_000
-#: A key of at least this part of all rows is hot; there are at most so many of them.
-HOT_SHARE = 1000
 
 
 def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
@@ -244,12 +242,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """``rows`` and ``table`` (one row a key; ``weight``: how many of ``rows`` have it) joined. Keys of at least 1 / HOT_SHARE of ``rows`` are broadcast, so their rows stay where they are."""
-    hot = F.broadcast(table.filter(F.col(weight) * HOT_SHARE >= max(1, rows.count())))
-    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
-
-
 PLACE = ("key", "one", "two", "side", "node", "label")
 
 
@@ -409,13 +401,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     common.discard(members, groups)
     own = common.written(joined.join(reps.select("node", "doc_id"), "node"), "own")
     least = common.written(own.groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("component")), "least")
-    component = _hot_join(own, least, "root", "n").select("node", "root", "component", F.lit(True).alias("linked"))
+    component = common.hot_join(own, least, ["root"], "n", own.count()).select("node", "root", "component", F.lit(True).alias("linked"))
     found = reps.join(component, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     found = common.written(found, "found")
     common.discard(joined, own, least)
     columns = ["doc_id", "text_hash", "n_shingles", "component_id", "set_a", "root"]
     of_set = found.select(F.col("node").alias("set_a"), "copies", "root", "component_id")
-    full = _hot_join(named.filter("n_shingles > 0"), of_set, "set_a", "copies").select(columns)
+    full = common.hot_join(named.filter("n_shingles > 0"), of_set, ["set_a"], "copies", named.count()).select(columns)
     return full.unionByName(named.filter("n_shingles = 0").select(*columns[:3], F.col("doc_id").alias("component_id"), "set_a", F.lit(None).cast("long").alias("root")))
 
 

@@ -100,8 +100,8 @@ class Rollup:
 def surplus_copies(docs: DataFrame) -> DataFrame:
     """doc_ids of documents whose whole text an earlier doc_id has (texts known by two 64-bit hashes)."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_a"), F.xxhash64(F.lit(1), "text").alias("_b")).filter("text is not null and doc_id is not null")
-    first = keyed.groupBy("_a", "_b").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return keyed.join(first, ["_a", "_b"]).filter("doc_id <> _first").select("doc_id")
+    first = common.written(keyed.groupBy("_a", "_b").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"), "first")
+    return common.hot_join(keyed, first, ["_a", "_b"], "_n", docs.count()).filter("doc_id <> _first").select("doc_id")
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
