@@ -53,10 +53,10 @@ def sitemap_links(xml: DataFrame, column: str = "xml") -> DataFrame:
 
 
 def robots_disallowed(robots: DataFrame, column: str = "body") -> DataFrame:
-    """Path prefixes that the rules for all agents forbid."""
-    lines = robots.select(F.posexplode(F.split(column, r"\r?\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
+    """Path prefixes that the rules for all agents forbid; each row is a file of its own."""
+    lines = robots.select(F.monotonically_increasing_id().alias("file"), column).select("file", F.posexplode(F.split(column, r"\r?\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
     agent = F.when(F.lower("line").startswith("user-agent:"), F.trim(F.substring_index("line", ":", -1)))
-    current = F.last(agent, ignorenulls=True).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    current = F.last(agent, ignorenulls=True).over(Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     rules = lines.withColumn("agent", current).filter((F.col("agent") == "*") & F.lower("line").startswith("disallow:"))
     return rules.select(F.trim(F.regexp_replace("line", "(?i)^disallow:", "")).alias("prefix")).filter("prefix <> ''")
 

@@ -63,12 +63,17 @@ def latest_errors(log: DataFrame, limit: int | None = None) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
-def fresh_name(names: DataFrame, taken: DataFrame, most: int = 1000) -> DataFrame:
-    """name and the first free form of it: itself, or with -2, -3, ... before its ending."""
+def fresh_name(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """name and the first free form of it: itself, or with -2, -3, ... before its ending. Numbered forms are free of ``names`` too, so no two names get the same."""
+    pattern = r"^(.*)-([1-9][0-9]{0,8})(\.[^.]*)?$"
+    part = lambda i: F.regexp_extract("name", pattern, i)
+    numbered = taken.select("name").union(names.select("name")).distinct().filter(F.col("name").rlike(pattern)).select(part(1).alias("_s"), part(2).cast("int").alias("_n"), part(3).alias("_e")).filter("_n > 1")
+    # Numbers from 2 on without a gap are one more than their place.
+    placed = numbered.withColumn("_p", F.row_number().over(Window.partitionBy("_s", "_e").orderBy("_n")) + 1)
+    gaps = placed.groupBy("_s", "_e").agg(F.coalesce(F.min(F.when(F.col("_n") != F.col("_p"), F.col("_p"))), F.max("_n") + 1).alias("_g"))
     stem, end = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    tries = names.select("name", stem.alias("_s"), end.alias("_e"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
-    tries = tries.withColumn("free", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("_s", F.lit("-"), F.col("n").cast("string"), "_e")))
-    return tries.join(taken.select(F.col("name").alias("free")), "free", "left_anti").groupBy("name").agg(F.min_by("free", "n").alias("free"))
+    asked = names.select("name").distinct().select("name", stem.alias("_s"), end.alias("_e")).join(taken.select("name", F.lit(True).alias("_t")).distinct(), "name", "left").join(gaps, ["_s", "_e"], "left")
+    return asked.select("name", F.when(F.col("_t"), F.concat("_s", F.lit("-"), F.coalesce("_g", F.lit(2)).cast("string"), "_e")).otherwise(F.col("name")).alias("free"))
 
 
 def orphans(listed: DataFrame, referenced: Column | DataFrame, key: str = "uri") -> DataFrame:

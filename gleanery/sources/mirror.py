@@ -17,9 +17,9 @@ def chunks(items: DataFrame, count: int = hashing.CHUNKS) -> DataFrame:
 
 
 def manifest(rows: DataFrame) -> DataFrame:
-    """chunk, rows, digest: digests add up 64-bit hashes of the payloads, so they don't depend on order and need no collected chunk."""
-    digest = F.sum((F.xxhash64("name", "payload") % F.lit(1 << 31)).cast("decimal(38,0)"))
-    return rows.groupBy("chunk").agg(F.count("*").alias("rows"), digest.cast("string").alias("digest"))
+    """chunk, rows, digest: digests add up two 64-bit hashes of the payloads, so they don't depend on order and need no collected chunk."""
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "name", "payload").cast("decimal(38,0)")).cast("string")
+    return rows.groupBy("chunk").agg(F.count("*").alias("rows"), F.concat_ws(":", total(1), total(2)).alias("digest"))
 
 
 def changed_chunks(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def changed_chunks(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def sync(items: DataFrame, path: str) -> DataFrame:
-    """Write what changed under ``path`` and return the manifest. A failed run leaves the old manifest, so the next one repeats its work."""
+    """Write what changed under ``path`` and return the manifest. A failed run leaves the old manifest or a whole next one, so the next run repeats its work or finds it done."""
     spark = items.sparkSession
     rows = chunks(items)
     new = manifest(rows)
@@ -45,11 +45,13 @@ def sync(items: DataFrame, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest, or the next one where a run ended while it took the manifest's place."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.read.schema("chunk string, rows long, digest string, version int").json(f"{path}/manifest").filter(F.col("version") <= VERSION)
+    for name in ("manifest", "manifest-next"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return spark.read.schema("chunk string, rows long, digest string, version int").json(f"{path}/{name}").filter(F.col("version") <= VERSION)
+    return None
 
 
 def restore(spark: SparkSession, path: str, files: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:

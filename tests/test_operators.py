@@ -90,6 +90,25 @@ def test_twins_and_frames(spark):
     assert [r.ordinal for r in similar.distinct_frames(frames).orderBy("ordinal").collect()] == [0, 2, 4]
 
 
+def test_training_set_of_a_head(spark):
+    x, y, z = np.eye(3)
+    mix = lambda c: c * x + np.sqrt(1 - c * c) * y
+    mean = np.array([0.1, 0.2, 0.3])
+    background = np.stack([mix(0.9), mix(0.7), z] + [z] * 46 + [mix(0.65)])  # one too near, two hard
+    against, kept, near = learn.training_set(x[None], y[None], background, np.stack([mix(0.86), z]), mean)
+    assert near.round(6).tolist() == [0.7] + [0.0] * 47 + [0.65] and len(kept) == 51
+    # 51 kept rows, one of the two other positives, and the correction twice (51 / 25 rounded).
+    assert len(against) == 51 + 1 + 2 and np.allclose(against[51], z - mean) and np.allclose(against[-2:], y - mean)
+    assert np.allclose(kept[0], mix(0.7) - mean) and np.allclose(kept[1], kept[0]) and np.allclose(kept[-1], kept[-2])
+    examples = spark.createDataFrame([("a", x.tolist(), True), ("a", y.tolist(), False), ("b", mix(0.86).tolist(), True), ("b", z.tolist(), True)], "label string, vector array<double>, positive boolean")
+    head = learn.train_heads(examples, background, mean).filter("label = 'a'").first()
+    w, b = learn.fit_logistic(x[None] - mean, against)
+    assert np.allclose(head.weights, w, atol=1e-6) and abs(head.bias - b) < 1e-6
+    assert abs(head.knn_mean - (0.7 + 0.65) / 49) < 1e-9 and head.threshold >= 0.6
+    alone = learn.train_heads(examples.filter("label = 'a'"), np.zeros((0, 3)))
+    assert alone.count() == 1 and learn.train_heads(examples.limit(0), background).count() == 0
+
+
 def test_learning(spark):
     rng = np.random.default_rng(1)
 
@@ -219,4 +238,6 @@ def test_mining(spark):
     assert rows(mining.frequencies(mining.page_terms(pages), "page_id")) == [("goblin", 2)]
     robots = spark.createDataFrame([("User-agent: x\nDisallow: /a\nUser-agent: *\nDisallow: /b # no\nDisallow:",)], "body string")
     assert rows(mining.robots_disallowed(robots)) == [("/b",)]
+    two = spark.createDataFrame([("User-agent: *\nDisallow: /a\nUser-agent: x\nDisallow: /b",), ("User-agent: y\nDisallow: /c\nUser-agent: *\nDisallow: /d",)], "body string")
+    assert sorted(rows(mining.robots_disallowed(two))) == [("/a",), ("/d",)]
     assert rows(mining.sitemap_links(spark.createDataFrame([("<loc> http://a </loc><loc>http://b</loc>",)], "xml string"))) == [("http://a",), ("http://b",)]

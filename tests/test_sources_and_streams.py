@@ -45,6 +45,9 @@ def test_zip_plan_and_names(spark, tmp_path):
     assert [r.verdict for r in plan.orderBy("ord").collect()] == ["import", "duplicate", "unsupported", "duplicate"]
     taken = spark.createDataFrame([("a.png",), ("a-2.png",)], "name string")
     assert rows(files.fresh_name(spark.createDataFrame([("a.png",), ("b",)], "name string"), taken)) == [("a.png", "a-3.png"), ("b", "b")]
+    crowd = spark.createDataFrame([("a.png",), *[(f"a-{i}.png",) for i in range(2, 1500) if i != 1203], ("x-02.y",), ("x.y",)], "name string")
+    asked = spark.createDataFrame([("a.png",), ("a-1203.png",), ("x.y",), ("x-2.y",), ("x.y",)], "name string")
+    assert sorted(rows(files.fresh_name(asked, crowd))) == [("a-1203.png", "a-1203.png"), ("a.png", "a-1500.png"), ("x-2.y", "x-2.y"), ("x.y", "x-3.y")]
     log = spark.createDataFrame([(1, "a", "s", 1), (2, "a", "s", 2), (3, "a", "t", 0)], "id long, name string, stage string, created_at long")
     assert [r.id for r in files.latest_errors(log).collect()] == [2, 3]
 
