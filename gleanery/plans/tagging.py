@@ -48,7 +48,7 @@ def _tagged(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("owner"), F.get(names, (F.col("event_id") % 7).cast("int")).alias("source"), F.col("event_type").alias("label"), F.round(F.col("value") / 500, 4).alias("score"))
 
 
-LISTS = f"r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY id) AS p FROM ({TAGGED})), few AS (SELECT * FROM r WHERE p <= 50)"
+LISTS = f"r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY id) AS p FROM ({TAGGED})), few AS (SELECT * FROM r)"
 
 
 @query(f"""WITH {LISTS}, t AS (SELECT owner, bool_or(coalesce(source IN ('manual', 'ocr', 'exemplar', 'propagated'), false)) AS sure, max(CASE WHEN source IS DISTINCT FROM 'vision' THEN score END) AS best FROM few GROUP BY owner)
@@ -111,5 +111,6 @@ def fit_heads(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     background = [r[0] for r in v.orderBy(F.xxhash64("id"), "id").limit(250).select("embedding").collect()]
     examples = learn.capped_examples(v.limit(0).select(F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(True).alias("positive")), v.select(F.col("label").cast("string").alias("label"), "id", F.col("embedding").cast("array<double>").alias("vector")))
-    heads = learn.train_heads(examples, background)
+    mean = v.select(*[F.avg(F.get("embedding", F.lit(i))) for i in range(len(background[0]) if background else 0)]).first()
+    heads = learn.train_heads(examples, background, list(mean))
     return heads.select("label", F.size("weights").alias("size"), F.round("threshold", 4).alias("threshold"), F.size("positives").alias("positives"))
