@@ -152,3 +152,23 @@ def word_overlap_any(a: str, b: str) -> Column:
     """True if two lists of terms share a word."""
     parts = lambda c: F.flatten(F.transform(F.col(c), lambda t: F.filter(F.split(F.lower(t), "[^a-z0-9]+"), lambda w: w != "")))
     return F.arrays_overlap(parts(a), parts(b))
+
+
+def signals(items: DataFrame, labels: DataFrame, anchors: list[list[float]], sharpness: float = 50.0) -> DataFrame:
+    """id, label (the nearest; of equals the least), signal, score: five measures of how sure the nearest label is.
+
+    ``biased`` and ``anchored`` take half and all of the nearest anchor off the cosine, ``softmax`` is its share over labels and anchors, ``gap`` its lead over the second.
+    ``labels`` (label, vector) is a vocabulary of bounded size; anchors are literals.
+    """
+    listed = [F.array(*[F.lit(float(x)) for x in a]) for a in anchors]
+    own = items.select("id", "embedding", F.array(*[vectors.cosine("embedding", a) for a in listed]).cast("array<double>").alias("_a"))
+    pairs = own.join(F.broadcast(labels), F.lit(True)).select("id", "_a", F.struct((-vectors.cosine("embedding", "vector")).alias("c"), "label").alias("_s"))
+    near = pairs.groupBy("id").agg(F.first("_a").alias("_a"), F.sort_array(F.collect_list("_s")).alias("_s"))
+    anchor, top = F.coalesce(F.array_max("_a"), F.lit(0.0)), -F.col("_s")[0]["c"]
+    every = F.concat(F.transform("_s", lambda s: -s["c"]), "_a")
+    most = F.array_max(every)
+    total = F.aggregate(F.transform(every, lambda c: F.exp(sharpness * (c - F.col("_m")))), F.lit(0.0), lambda a, x: a + x)
+    told = near.withColumn("_m", most).select("id", F.col("_s")[0]["label"].alias("label"), F.explode(F.create_map(
+        F.lit("biased"), top - 0.5 * anchor, F.lit("cosine"), top, F.lit("anchored"), top - anchor, F.lit("softmax"), F.exp(sharpness * (top - F.col("_m"))) / total, F.lit("gap"), top + F.coalesce(F.get("_s", F.lit(1))["c"], F.lit(0.0)),
+    )).alias("signal", "score"))
+    return told

@@ -129,3 +129,62 @@ def frame_ladder(n: int, horizon_ms: int = 18_000, start_ms: int = 300) -> list[
 def snap(time: Column, interval_us: int, duration_us: int) -> Column:
     """The nearest frame time within [0, duration]."""
     return F.least(F.lit(duration_us), F.greatest(F.lit(0), F.round(time / interval_us) * interval_us)).cast("long")
+
+
+def trimmed(normal: DataFrame, edits: DataFrame, durations: DataFrame, least: int) -> DataFrame:
+    """entity, start_us, end_us, edge, clamped_us: where a dragged edge of a range may go (edits: entity, start_us of the range, edge ``start`` or ``end``, proposed_us).
+
+    An edge stays ``least`` from the other one, doesn't pass the neighbouring range, and keeps to [0, duration_us]; without a proposal it stays.
+    """
+    order = Window.partitionBy("entity").orderBy("start_us")
+    around = normal.withColumns({"_before": F.coalesce(F.lag("end_us").over(order), F.lit(0)), "_after": F.lead("start_us").over(order)})
+    met = around.join(edits, ["entity", "start_us"]).join(durations, "entity")
+    first = F.col("edge") == "start"
+    low = F.when(first, F.col("_before")).otherwise(F.col("start_us") + least)
+    high = F.when(first, F.col("end_us") - least).otherwise(F.coalesce("_after", "duration_us"))
+    inside = lambda x, a, b: F.greatest(a, F.least(x, b))
+    low = inside(low, F.lit(0), F.col("duration_us"))
+    high = inside(high, low, F.col("duration_us"))
+    wanted = F.coalesce("proposed_us", F.when(first, F.col("start_us")).otherwise(F.col("end_us")))
+    return met.select("entity", "start_us", "end_us", "edge", F.round(inside(wanted, low, high)).cast("long").alias("clamped_us"))
+
+
+def kept_splits(splits: DataFrame, normal: DataFrame) -> DataFrame:
+    """Split points (entity, at_us, rounded, each once) strictly inside a range."""
+    points = splits.select("entity", F.round("at_us").cast("long").alias("at_us")).distinct().alias("p")
+    inside = (F.col("p.entity") == F.col("r.entity")) & (F.col("at_us") > F.col("start_us")) & (F.col("at_us") < F.col("end_us"))
+    return points.join(normal.alias("r"), inside, "left_semi")
+
+
+def inserted_splits(asked: DataFrame, splits: DataFrame, normal: DataFrame, least: int) -> DataFrame:
+    """entity, at_us, accepted: whether a new split point (each on its own) is strictly inside a range, isn't there yet and leaves ``least`` to its neighbours and the range's ends.
+
+    Points, edges and questions are one ordered stream an entity; no question is paired with all points.
+    """
+    at = F.round("at_us").cast("long")
+    marks = kept_splits(splits, normal).select("entity", "at_us", F.lit("split").alias("_k"))
+    edges = normal.select("entity", F.explode(F.array(F.struct(F.col("start_us").alias("at_us"), F.lit("open").alias("_k")), F.struct(F.col("end_us").alias("at_us"), F.lit("close").alias("_k")))).alias("_e")).select("entity", "_e.*")
+    stream = marks.union(edges).unionByName(asked.select("entity", at.alias("at_us"), F.lit("ask").alias("_k")).distinct())
+    mark = F.when(F.col("_k") != "ask", F.struct("at_us", "_k"))
+    order = Window.partitionBy("entity").orderBy("at_us", F.when(F.col("_k") == "ask", 1).otherwise(0))
+    back = Window.partitionBy("entity").orderBy(F.desc("at_us"), F.when(F.col("_k") == "ask", 1).otherwise(0))
+    frame = (Window.unboundedPreceding, 0)
+    met = stream.withColumns({"_l": F.last(mark, True).over(order.rowsBetween(*frame)), "_h": F.last(mark, True).over(back.rowsBetween(*frame))}).filter("_k = 'ask'")
+    inside = F.col("_l._k").isin("open", "split") & F.col("_h._k").isin("close", "split")
+    apart = (F.col("at_us") - F.col("_l.at_us") >= F.greatest(F.lit(1), F.lit(least))) & (F.col("_h.at_us") - F.col("at_us") >= F.greatest(F.lit(1), F.lit(least)))
+    return met.select("entity", "at_us", F.coalesce(inside & apart, F.lit(False)).alias("accepted"))
+
+
+def without_segment(normal: DataFrame, splits: DataFrame, gone: DataFrame) -> DataFrame:
+    """Ranges without the segment that begins at ``start_us`` (gone: entity, start_us); an entity that would have nothing left keeps all."""
+    cut = segments(normal, kept_splits(splits, normal))
+    left = cut.join(gone.select("entity", "start_us"), ["entity", "start_us"], "left_anti")
+    n = lambda df, name: df.groupBy("entity").agg(F.count("*").alias(name))
+    empty = n(cut, "_a").join(n(left, "_b"), "entity", "left_anti").select("entity")
+    return islands(left.select("entity", "start_us", "end_us").unionByName(normal.join(empty, "entity").select("entity", "start_us", "end_us")))
+
+
+def tick_interval(duration_us: Column, content_px: Column, tile_px: float, most: int, base_us: int) -> Column:
+    """The least ``base_us`` times a power of two at which a tile is ``tile_px`` wide and there are at most ``most`` of them."""
+    need = F.greatest(F.when(content_px > 0, tile_px * duration_us / content_px).otherwise(duration_us), duration_us / most)
+    return F.when(duration_us > 0, base_us * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(need / base_us)).cast("double")))).otherwise(base_us).cast("long")
