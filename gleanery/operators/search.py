@@ -9,6 +9,7 @@ from gleanery.functions import tags as T
 from gleanery.functions import text, vectors
 from gleanery.functions.vectors import col
 from gleanery.operators import ranking
+from gleanery.sources import tables
 
 #: Weights of lexical hits, of all terms hit, of expanded terms; of tag hits and all tag hits; of fused lists.
 LEXICAL, ALL_TERMS, EXPANDED, EXPANDED_FULL = 0.35, 0.6, 0.22, 2
@@ -139,7 +140,23 @@ def rank_for_eval(items: DataFrame, queries: DataFrame, dense_only: bool = False
 
     ``items``: id, image, caption, search_text. ``queries``: query, query_vec, terms. Ties go to the smaller id.
     """
+    return ranking.ranked(_scored_for_eval(items, queries, dense_only), ["query"], [F.desc("score"), F.asc("id")])
+
+
+def _scored_for_eval(items: DataFrame, queries: DataFrame, dense_only: bool) -> DataFrame:
     pairs = items.join(F.broadcast(queries), F.lit(True))
     score = vectors.hybrid_score("query_vec", "image", "caption") + (F.lit(0.0) if dense_only else term_score("search_text", "terms"))
-    scored = pairs.select("query", "id", score.alias("score"))
-    return ranking.ranked(scored, ["query"], [F.desc("score"), F.asc("id")])
+    return pairs.select("query", "id", score.alias("score"))
+
+
+def ranks_of(items: DataFrame, queries: DataFrame, expected: DataFrame, dense_only: bool = False) -> DataFrame:
+    """query, id, rank of the one expected item (query, id) of each query, as rank_for_eval() has it; null where it is missing.
+
+    Only the expected items' scores are looked up; who is above them is counted where the items are, so nothing is sorted.
+    """
+    scored = _scored_for_eval(items, queries, dense_only)
+    own = scored.join(F.broadcast(expected.select("query", "id")), ["query", "id"])
+    own = tables.written(own.select("query", F.col("id").alias("_id"), F.col("score").alias("_score")), "expected")
+    above = (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("id") < F.col("_id")))
+    counted = scored.join(F.broadcast(own), "query").groupBy("query").agg((F.count_if(above) + 1).alias("rank"))
+    return expected.select("query", "id").join(counted, "query", "left")

@@ -14,10 +14,15 @@ from gleanery.sources.tables import table
 RANKS = f"{CENTRES}, s AS (SELECT m.label AS query, vec_id AS id, e.label = m.label AS relevant, row_number() OVER (PARTITION BY m.label ORDER BY list_dot_product(embedding::DOUBLE[], v) DESC, vec_id) AS rank FROM embeddings e, m)"
 
 
-def _ranks(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks of all items for each label's centroid (as many queries as labels)."""
+def _library(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Items, and each label's centroid as a query (as many queries as labels)."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("image"), F.lit(None).cast("array<float>").alias("caption"), F.lit("").alias("search_text"), "label")
     queries = vectors.mean_vector(v, "image", ("label",)).select(F.col("label").alias("query"), F.col("mean").alias("query_vec"), F.array().cast("array<string>").alias("terms"))
+    return v, queries
+
+
+def _ranks(spark: SparkSession, d: str) -> DataFrame:
+    v, queries = _library(spark, d)
     return search.rank_for_eval(v.drop("label"), queries, dense_only=True).join(v.select("id", "label"), "id").withColumn("relevant", F.col("label") == F.col("query"))
 
 
@@ -25,9 +30,9 @@ def _ranks(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) AS queries, round(avg((rank <= 1)::INT), 6) AS recall_at_1, round(avg((rank <= 5)::INT), 6) AS recall_at_5, round(avg((rank <= 10)::INT), 6) AS recall_at_10, round(avg(1.0 / rank), 6) AS mrr FROM r""")
 def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Each label's least item is the expected one."""
-    ranks = _ranks(spark, d)
-    expected = ranks.filter("relevant").groupBy("query").agg(F.min_by("rank", "id").alias("rank"))
-    out = evaluate.retrieval(expected)
+    v, queries = _library(spark, d)
+    expected = v.groupBy(F.col("label").alias("query")).agg(F.min("id").alias("id"))
+    out = evaluate.retrieval(search.ranks_of(v.drop("label"), queries, expected, dense_only=True))
     return out.select("queries", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
