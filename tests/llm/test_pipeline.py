@@ -53,6 +53,36 @@ def test_near_copies_from_080(spark, tmp_path):
     assert {r.doc_id for r in dict(P.STAGES)["near_copies"](spark, docs, str(tmp_path)).collect()} == {1, 3, 5, 6}
 
 
+#: Names that the operators use inside, as a user's own columns.
+NAMES = "_hash _h _id _spans _text_hash _doc_id _n component_id root set_a keys map held_out lang_pred score spans found item_id edits length ids sequence_id node key one two side label blocks".split()
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark, tmp_path):
+    rng = random.Random(10)
+    item = prose(rng, 30)
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = [(i, say(rng, "ab"[i % 2] * 2, 50), "ab"[i % 2] * 2) for i in range(30)]
+    long = say(rng, "aa", 60_000)
+    odd = [(100, None, "aa"), (101, "", None), (None, plain[0][1], "aa"), (None, say(rng, "aa", 50), None), (plain[1][0], plain[1][1], "bb"), (102, long, "aa"), (None, None, None), (103, f"{say(rng, 'aa', 30)} {item}", "aa"), (104, f"{say(rng, 'bb', 60)} password = hunter22x", "bb")]
+    docs = spark.createDataFrame([(*r, "s", None) for r in plain + odd], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"{k} as `{n}`" for k, n in enumerate(NAMES)])
+    stages = dict(P.STAGES)
+    left = {}
+    for name in ("language", "near_copies", "benchmark", "secrets"):
+        out = stages[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all(r[n] == k for r in rows for k, n in enumerate(NAMES))
+        left[name] = Counter((r.doc_id, r.text) for r in rows)
+    every = Counter((r[0], r[1]) for r in plain + odd)
+    empty = Counter({(100, None): 1, (101, ""): 1, (None, None): 1})
+    assert left["language"] == every - empty
+    assert left["near_copies"] == every - Counter({(None, plain[0][1]): 1, (plain[1][0], plain[1][1]): 1})
+    assert every - left["benchmark"] == Counter({(103, odd[7][1]): 1}) and sum(left["benchmark"].values()) == len(plain + odd) - 1
+    assert every - left["secrets"] == Counter({(104, odd[8][1]): 1}) and (104, odd[8][1].replace("password = hunter22x", "[SECRET]")) in left["secrets"]
+    packed = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in packed if r.doc_id == 102) == len(plain_ids(long)) + 1
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
