@@ -13,11 +13,12 @@ CHUNKS = 64
 
 
 def _codes(text: Column | str) -> Column:
-    return F.transform(F.split(col(text), ""), F.ascii)
+    """The text's UTF-16 units: a character beyond U+FFFF is two."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(col(text), "UTF-16BE")), F.lit("(....)"), 1), lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def fnv1a(text: Column | str) -> Column:
-    """FNV-1a over the characters' codes, as an unsigned 32-bit number."""
+    """FNV-1a over the UTF-16 units, as an unsigned 32-bit number."""
     step = lambda h, c: ((h.bitwiseXOR(c.cast("long"))) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
     return F.when(col(text) == "", F.lit(FNV_START).cast("long")).otherwise(F.aggregate(_codes(text), F.lit(FNV_START).cast("long"), step))
 
@@ -28,8 +29,8 @@ def fnv_text(text: Column | str) -> Column:
 
 
 def fingerprint(text: Column | str) -> Column:
-    """Length and hash."""
-    return F.concat_ws(".", F.length(col(text)), fnv_text(text))
+    """Length in UTF-16 units, and hash."""
+    return F.concat_ws(".", F.size(_codes(text)), fnv_text(text))
 
 
 def chunk_of(name: Column | str, chunks: int = CHUNKS) -> Column:
@@ -38,6 +39,6 @@ def chunk_of(name: Column | str, chunks: int = CHUNKS) -> Column:
 
 
 def text_hash31(text: Column | str) -> Column:
-    """h = 31 h + code over the characters, with 32-bit signed overflow."""
+    """h = 31 h + unit over the UTF-16 units, with 32-bit signed overflow."""
     wrap = lambda h: F.pmod(h + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
     return F.when(col(text) == "", F.lit(0).cast("long")).otherwise(F.aggregate(_codes(text), F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c)))

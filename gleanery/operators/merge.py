@@ -65,9 +65,15 @@ def keep_latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, the first in the order of the other columns (those that have an order)."""
+    order = [F.col(c) for c, t in df.dtypes if c not in keys and "map" not in t and "variant" not in t] or [F.lit(0)]
+    return df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_first = 1").drop("_first")
+
+
 def insert_missing(items: DataFrame, more: DataFrame, key: str) -> DataFrame:
-    """``items`` with the rows of ``more`` whose key is new; of repeated keys one stays."""
-    return items.unionByName(more.dropDuplicates([key]).join(items.select(key), key, "left_anti"), allowMissingColumns=True)
+    """``items`` with the rows of ``more`` whose key is new; of repeated keys the first stays (see first_rows)."""
+    return items.unionByName(first_rows(more, [key]).join(items.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def delete(items: DataFrame, gone: DataFrame, key: str, *dependents: tuple[DataFrame, str]) -> list[DataFrame]:
@@ -85,7 +91,8 @@ def import_exemplars(known: DataFrame, incoming: DataFrame, pack: str, replace:
     """The exemplars after an import, and one row of added, skipped, removed. Columns: label, vector, positive, pack."""
     kept = known.filter(F.col("pack") != pack) if replace else known
     sign = exemplar_signature(F.col("vector"), F.col("label"), F.col("positive"))
-    one = incoming.withColumn("pack", F.lit(pack)).withColumn("_s", sign).dropDuplicates(["_s"])
+    one = incoming.withColumn("pack", F.lit(pack)).withColumn("_s", sign)
+    one = first_rows(one, ["_s"])
     fresh = one.join(kept.select(sign.alias("_s")).distinct(), "_s", "left_anti").drop("_s")
     count = lambda df, c: df.agg(F.count("*").alias(c))
     totals = count(incoming, "_all").join(count(fresh, "added")).join(count(known.filter(F.col("pack") == pack), "_old"))

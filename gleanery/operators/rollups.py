@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import hashing, text
+from gleanery.operators import merge
 
 
 def taught_labels(exemplars: DataFrame, items: DataFrame) -> DataFrame:
@@ -55,5 +56,5 @@ def live_content(hashes: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def share_dedupe(incoming: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Incoming files (hash, uri, name) that are new: of equal contents one stays, known contents go."""
-    return incoming.dropDuplicates(["hash"]).join(hashes.select("hash"), "hash", "left_anti")
+    """Incoming files (hash, uri, name) that are new: of equal contents the first address stays, known contents go."""
+    return merge.first_rows(incoming, ["hash"]).join(hashes.select("hash"), "hash", "left_anti")

@@ -121,3 +121,18 @@ def test_vectors(spark):
     blobs = df.select("k", vectors.encode_floats("v").alias("b")).select("k", vectors.decode_floats("b").alias("v"))
     assert sorted(blobs.collect()) == sorted(df.collect())
     assert [r.scores for r in vectors.vector_scores(df.filter("k = 2"), "v", [[1.0, 1.0], [0.0, 3.0]]).collect()] == [[2.0, 6.0]]
+
+
+def test_hashes_take_utf16_units(spark):
+    def units(text):
+        raw = text.encode("utf-16-be")
+        return [raw[i] * 256 + raw[i + 1] for i in range(0, len(raw), 2)]
+
+    texts = ["", "abc", "é ü", "a😀b", "日本"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.fnv1a("t").alias("f"), hashing.text_hash31("t").alias("h"), hashing.fingerprint("t").alias("p")).collect()
+    for r in rows:
+        f, h = 2166136261, 0
+        for u in units(r.t):
+            f = ((f ^ u) * 16777619) & 0xFFFFFFFF
+            h = (h * 31 + u + 2**31) % 2**32 - 2**31
+        assert (r.f, r.h) == (f, h) and r.p.split(".")[0] == str(len(units(r.t)))
