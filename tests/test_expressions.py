@@ -135,4 +135,9 @@ def test_hashes_take_utf16_units(spark):
         for u in units(r.t):
             f = ((f ^ u) * 16777619) & 0xFFFFFFFF
             h = (h * 31 + u + 2**31) % 2**32 - 2**31
-        assert (r.f, r.h) == (f, h) and r.p.split(".")[0] == str(len(units(r.t)))
+        assert (r.f, r.h) == (f, h) and int(r.p.split(".")[0], 36) == len(units(r.t)) and int(r.p.split(".")[1], 36) == f
+    long = "abc" * 400_000
+    f = 2166136261
+    for u in units(long)[::2]:
+        f = ((f ^ u) * 16777619) & 0xFFFFFFFF
+    assert [int(x, 36) for x in value(spark, hashing.fingerprint(F.lit(long))).split(".")] == [1_200_000, f]
