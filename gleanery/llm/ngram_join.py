@@ -422,10 +422,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     text; up to BROADCAST_IDS of them are broadcast, beyond that they meet the documents in a shuffled anti-join.
     """
     near = common.written(near_duplicates(docs, words, percent).filter("n_shingles > 0").select("root", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash").alias("row")), "near")
-    rows = near.groupBy("root", "row").agg(F.count("*").alias("n"))
-    best = rows.groupBy("root").agg(F.min("row").alias("best"))
+    rows = common.written(near.groupBy("root", "row").agg(F.count("*").alias("n")), "rows")
+    best = common.written(rows.groupBy("root").agg(F.min("row").alias("best"), F.count("*").alias("size")), "best")
     h, i, a, n = common.free_names(docs, "_text_hash", "_doc_id", "_hash", "_n")
-    judged = common.written(rows.join(best, "root").filter("n > 1 or row <> best").select(F.col("row.doc_id").alias(i), F.col("row.text_hash").alias(a), (F.col("row") == F.col("best")).alias(n)).distinct(), "judged")
+    judged = common.written(common.hot_join(rows, best, ["root"], "size", rows.count()).filter("n > 1 or row <> best").select(F.col("row.doc_id").alias(i), F.col("row.text_hash").alias(a), (F.col("row") == F.col("best")).alias(n)).distinct(), "judged")
+    common.discard(near, rows, best)
     known = docs.withColumn(h, F.xxhash64("text"))
     same = (F.col(h) == F.col(a)) & F.col("doc_id").eqNullSafe(F.col(i))
     kept = known.join(_small(judged), same, "left_anti").select(docs.columns)
