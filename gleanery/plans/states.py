@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators import evaluate, intervals, reads, states
+from gleanery.operators import evaluate, facets, intervals, reads, states
 from gleanery.plans import bindings as B
 from gleanery.plans import tagging, timeline
 from gleanery.plans.register import query
@@ -169,3 +169,37 @@ def five_signals(spark: SparkSession, d: str) -> DataFrame:
     found = evaluate.signals(v.select("id", "embedding"), tagging._vocabulary(spark, d), [B.query_vector(spark, d)])
     judged = found.join(v.select("id", F.col("label").alias("_t")), "id").select("signal", F.round("score", 9).alias("score"), (F.col("label") == F.col("_t")).alias("correct"))
     return evaluate.auc(judged, ["signal"]).select("signal", F.round("auc", 6).alias("auc"))
+
+
+FACET_WORDS = (("blue", "action"), ("large", "tone"), ("bolt", "object"), ("bolt", "setting"), ("cold", "emotion"), ("cold", "character"))
+FACET_PHRASES = (("small widget", "format"), ("rod", "topic"))
+FACETS = "fw(word, facet) AS (VALUES " + ", ".join(f"('{w}', '{f}')" for w, f in FACET_WORDS) + "), fp(phrase, facet) AS (VALUES " + ", ".join(f"('{w}', '{f}')" for w, f in FACET_PHRASES) + "), "
+FACETS += "h AS (SELECT DISTINCT p_name AS label, facet FROM part JOIN fw ON list_contains(string_split_regex(lower(p_name), '[^a-z0-9]+'), word) UNION SELECT DISTINCT p_name, facet FROM part JOIN fp ON contains(lower(p_name), phrase))"
+
+
+def _vocabulary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame(list(FACET_WORDS), "word string, facet string"), spark.createDataFrame(list(FACET_PHRASES), "phrase string, facet string")
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.col("p_name").alias("label"))
+
+
+@query(f"WITH {FACETS} SELECT label, facet FROM h")
+def label_facets(spark: SparkSession, d: str) -> DataFrame:
+    return facets.tag_facets(_names(spark, d), *_vocabulary(spark))
+
+
+@query(f"""WITH {FACETS}, o AS (SELECT label, arg_min(facet, list_position({list(facets.PRIORITY)}, facet)) AS facet FROM h GROUP BY label)
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'topic' ELSE coalesce(o.facet, 'character') END AS category FROM part LEFT JOIN o ON label = p_name""")
+def refaceted_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    rows = _names(spark, d).withColumn("category", F.when(F.col("p_partkey") % 2 == 0, "topic").otherwise("character"))
+    return facets.refaceted(rows, *_vocabulary(spark)).select("p_partkey", "category")
+
+
+@query(f"""WITH {FACETS}, t AS (SELECT p_brand AS id, p_name AS label FROM part), n AS (SELECT count(DISTINCT id) AS n, count(*) AS tags FROM t), c AS (SELECT count(*) AS covered FROM (SELECT DISTINCT id, facet FROM t JOIN h USING (label)))
+SELECT n, round(covered / n, 6) AS avg_facets, round(tags / n, 6) AS avg_tags, round((SELECT count(*) FROM t WHERE label NOT IN (SELECT label FROM h)) / tags, 6) AS unclassified FROM n, c""")
+def facet_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as items, their parts' names as tags."""
+    items = table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.collect_list("p_name").alias("tags"))
+    return facets.summary(items, *_vocabulary(spark)).select("n", *[F.round(c, 6).alias(c) for c in ("avg_facets", "avg_tags", "unclassified")])
