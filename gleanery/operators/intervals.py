@@ -188,3 +188,25 @@ def tick_interval(duration_us: Column, content_px: Column, tile_px: float, most:
     """The least ``base_us`` times a power of two at which a tile is ``tile_px`` wide and there are at most ``most`` of them."""
     need = F.greatest(F.when(content_px > 0, tile_px * duration_us / content_px).otherwise(duration_us), duration_us / most)
     return F.when(duration_us > 0, base_us * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(need / base_us)).cast("double")))).otherwise(base_us).cast("long")
+
+
+def keyframes_around(points: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """entity, time_us of each point once, with exact (a keyframe is at it), previous_us and next_us (the keyframes strictly before and after it, null if none).
+
+    Points and keyframes are one ordered stream an entity.
+    """
+    marks = keyframes.select("entity", "time_us", F.lit(True).alias("_mark")).distinct()
+    stream = marks.unionByName(points.select("entity", "time_us", F.lit(False).alias("_mark")).distinct())
+    at = F.when(F.col("_mark"), F.col("time_us"))
+    frame = (Window.unboundedPreceding, -1)
+    # A point stands before a keyframe of its time in either direction, so that one isn't seen.
+    before = Window.partitionBy("entity").orderBy("time_us", "_mark").rowsBetween(*frame)
+    after = Window.partitionBy("entity").orderBy(F.desc("time_us"), "_mark").rowsBetween(*frame)
+    here = F.max("_mark").over(Window.partitionBy("entity", "time_us"))
+    return stream.withColumns({"exact": here, "previous_us": F.last(at, True).over(before), "next_us": F.last(at, True).over(after)}).filter("not _mark").drop("_mark")
+
+
+def frame_steps(times: DataFrame, frame_us: int) -> DataFrame:
+    """entity, time_us, with frame (the number of the nearest frame of a grid of ``frame_us``, halves up) and snapped_us, its time."""
+    n = F.floor(F.col("time_us") / frame_us + 0.5).cast("long")
+    return times.select("entity", "time_us", F.greatest(F.lit(0).cast("long"), n).alias("frame"), (F.greatest(F.lit(0).cast("long"), n) * frame_us).alias("snapped_us"))

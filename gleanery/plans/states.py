@@ -203,3 +203,20 @@ def facet_summary(spark: SparkSession, d: str) -> DataFrame:
     """Brands as items, their parts' names as tags."""
     items = table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.collect_list("p_name").alias("tags"))
     return facets.summary(items, *_vocabulary(spark)).select("n", *[F.round(c, 6).alias(c) for c in ("avg_facets", "avg_tags", "unclassified")])
+
+
+KEYS = f"t AS (SELECT user_id AS entity, epoch_us(ts) - {timeline.START} AS time_us, event_id FROM events), kf AS (SELECT DISTINCT entity, time_us FROM t WHERE event_id % 3 = 0), pt AS (SELECT DISTINCT entity, time_us FROM t WHERE event_id % 2 = 0)"
+
+
+@query(f"""WITH {KEYS} SELECT pt.entity, pt.time_us, coalesce(bool_or(kf.time_us = pt.time_us), false) AS exact, max(kf.time_us) FILTER (WHERE kf.time_us < pt.time_us) AS previous_us, min(kf.time_us) FILTER (WHERE kf.time_us > pt.time_us) AS next_us
+FROM pt LEFT JOIN kf ON kf.entity = pt.entity GROUP BY pt.entity, pt.time_us""")
+def keyframe_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every third event of a user is a keyframe, every second one a point."""
+    times = table(spark, d, "events").select(F.col("user_id").alias("entity"), timeline._us().alias("time_us"), "event_id")
+    return intervals.keyframes_around(times.filter("event_id % 2 = 0"), times.filter("event_id % 3 = 0"))
+
+
+@query(f"WITH {KEYS} SELECT entity, time_us, floor(time_us / 33333 + 0.5)::BIGINT AS frame, floor(time_us / 33333 + 0.5)::BIGINT * 33333 AS snapped_us FROM t")
+def frame_snap(spark: SparkSession, d: str) -> DataFrame:
+    times = table(spark, d, "events").select(F.col("user_id").alias("entity"), timeline._us().alias("time_us"))
+    return intervals.frame_steps(times, 33_333)
