@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import ann, decontaminate, html_text, language_id, ngram_join, packing, quality, secrets, sharding, token_rollup
+from gleanery.llm import ann, decontaminate, fill_middle, html_text, language_id, ngram_join, packing, quality, secrets, sharding, token_rollup
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         language_id.op8_language_ecoc,
         quality.op9_quality_factorisation,
         ann.op10_ann_hnsw,
+        fill_middle.op11_fill_middle_dfa,
     )
 }
-#: Hashes, tokenizers, trained models and edit distances have no SQL; tests/llm holds these queries against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: Hashes, tokenizers, trained models and edit distances have no SQL; tests/llm holds those queries against brute force.
+ORACLE_SQL: dict[str, str] = {"op11_fill_middle_dfa": fill_middle.SQL}
