@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import ann, decontaminate, fill_middle, html_text, language_id, ngram_join, packing, quality, secrets, sharding, token_rollup
+from gleanery.llm import ann, decontaminate, divergence, fill_middle, html_text, language_id, ngram_join, packing, quality, secrets, sharding, token_rollup
 
 QUERIES = {
     f.__name__: f
@@ -18,7 +18,8 @@ QUERIES = {
         quality.op9_quality_factorisation,
         ann.op10_ann_hnsw,
         fill_middle.op11_fill_middle_dfa,
+        divergence.op12_divergence_vectors,
     )
 }
 #: Hashes, tokenizers, trained models and edit distances have no SQL; tests/llm holds those queries against brute force.
-ORACLE_SQL: dict[str, str] = {"op11_fill_middle_dfa": fill_middle.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_fill_middle_dfa": fill_middle.SQL, "op12_divergence_vectors": divergence.SQL}
