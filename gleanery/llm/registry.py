@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import ann, decontaminate, divergence, fill_middle, html_text, language_id, ngram_join, packing, quality, secrets, sharding, token_rollup
+from gleanery.llm import ann, decontaminate, divergence, fill_middle, fingerprints, html_text, language_id, ngram_join, packing, quality, secrets, sharding, token_rollup
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         ann.op10_ann_hnsw,
         fill_middle.op11_fill_middle_dfa,
         divergence.op12_divergence_vectors,
+        fingerprints.op13_bottom_k,
     )
 }
 #: Hashes, tokenizers, trained models and edit distances have no SQL; tests/llm holds those queries against brute force.
