@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by hierarchical navigable small-world graphs, one for each shard.
 
-Equal vectors are one node; a node carries its k + 1 least vec_ids, which is all a query can need. Nodes are dealt over shards of about SHARD_ROWS by a hash
-of the vector. A task builds a shard's graph: nodes draw their top level by a hash; on each level a node's neighbours are chosen from its
+Equal vectors are one node; a node carries its k + 1 least vec_ids, which is all a query can need. Nodes are dealt into bands whose norms differ by a factor of BAND at most, and
+a band over shards of about SHARD_ROWS by a hash of the vector. A task builds a shard's graph: nodes draw their top level by a hash; on each level a node's neighbours are chosen from its
 nearest nodes by the diversity rule, then links back are added. Each level is one flat array of neighbour numbers (fixed width, -1 for none). The
 last place on level 0 is a ring through all nodes, so every node can be reached. Graphs are rows of an index table in the shared folder.
 
@@ -9,7 +9,8 @@ Queries come in blocks of QUERY_ROWS. A task reads a shard's graph once and then
 levels, then a beam of EF nodes on level 0. Graphs are walked in single precision on vectors scaled to norms of at most 1; found nodes are scored again in double precision on the
 original vectors, and the shards' results are merged. Every query meets every shard of its dimension, so the work grows with queries times shards.
 
-Nearness is the largest inner product. For building, vectors get one more component that makes their norms equal, so that long vectors don't become everyone's neighbour.
+Nearness is the largest inner product. A graph links vectors by their angles and is walked by inner products, which within a band of norms tell nearly the same order; long vectors
+have bands, and so graphs, of their own and can't become everyone's neighbour. A score that overflows to no number comes last.
 Only vectors of equal length are compared. Null, zero, empty vectors and those with null or non-finite components take no part, nor do rows without a vec_id. Repeated
 rows are candidates each. Of rows that share a vec_id the one with the least vector asks; its candidates are all other rows, those of its own vec_id too. An empty table gives no rows. Other columns are ignored.
 """
@@ -27,9 +28,11 @@ from gleanery.llm import common
 
 K = 20
 SHARD_ROWS = 16_384
+#: Norms of a band's vectors differ by no more than this factor.
+BAND = 1.5
 QUERY_ROWS, PART_BLOCKS = 256, 32
-#: Up to so many dimensions are broadcast with their numbers of shards; beyond, they meet the vectors in a shuffled join.
-BROADCAST_DIMS = 10_000
+#: Up to so many bands are broadcast with their numbers of shards; beyond, they meet the vectors in a shuffled join.
+BROADCAST_BANDS = 10_000
 #: Links of a node above and on level 0, nearest nodes that they are chosen from, beam width, nodes expanded in a step.
 M, M0, CHOICE, EF, EXPAND = 16, 32, 64, 320, 4
 
@@ -90,9 +93,7 @@ class Graph:
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 11) -> Graph:
-        n = len(vectors)
-        square = (vectors.astype(np.float64) ** 2).sum(1)
-        x = np.concatenate([vectors, np.sqrt(np.maximum(0, square.max(initial=0) - square))[:, None].astype(np.float32)], axis=1)
+        n, x = len(vectors), scaled(vectors, True)
         level = np.floor(-np.log(np.random.default_rng(seed).random(n)) / np.log(M)).astype(int)
         above, links = [], []
         base = _links(x, M0)
@@ -181,6 +182,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
+def band(vector: Column) -> Column:
+    """The number of the norm's band, by logarithms; equal norms are in the middle of theirs. Nothing overflows on the way."""
+    top = F.array_max(F.transform(vector, lambda v: F.abs(v.cast("double"))))
+    square = lambda m: F.aggregate(vector, F.lit(0.0), lambda a, v: a + (v / m) * (v / m))
+    return F.round(F.get(F.transform(F.array(top), lambda m: F.log(m) + F.log(square(m)) / 2), F.lit(0)) / F.lit(float(np.log(BAND)))).cast("int")
+
+
 def _vectors(rows: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
     """(name, vector) of rows that take part; single precision stays, any other kind is double."""
     kind = "float" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
@@ -193,9 +201,11 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     kind = rows.schema["vector"].dataType.simpleString()
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     nodes = rows.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    nodes = common.written(nodes.withColumn("dim", F.size("vector")), "nodes")
-    shards = common.written(nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards")), "shards")
-    placed = nodes.join(F.broadcast(shards) if shards.count() <= BROADCAST_DIMS else shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    nodes = common.written(nodes.withColumn("dim", F.size("vector")).withColumn("band", band(F.col("vector"))), "nodes")
+    counted = nodes.groupBy("dim", "band").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
+    earlier = F.sum("shards").over(Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    bands = common.written(counted.withColumn("first", F.coalesce(earlier, F.lit(0)).cast("int")), "bands")
+    placed = nodes.join(F.broadcast(bands) if bands.count() <= BROADCAST_BANDS else bands, ["dim", "band"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vector"), F.col("shards"))).cast("int"))
     flat_type = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
@@ -216,7 +226,7 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
     schema = f"dim int, shard int, counts array<int>, ids array<long>, vectors {kind}, levels array<int>, above array<int>, links array<int>"
     index = common.written(placed.select("dim", "shard", "ids", "vector").groupBy("dim", "shard").applyInArrow(build, schema), "index")
-    common.discard(nodes, shards)
+    common.discard(nodes, bands)
     return index
 
 
@@ -279,7 +289,7 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vect
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
     found = met.select("dim", "block", *arrays, "query_ids", "query_vectors").mapInArrow(look, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,18 +1,24 @@
 """HTML extraction by layout-aware rendering.
 
-A page becomes a tree: missing end tags are implied (p before a block; li, dt, dd, option, cells and rows before their like), missing rows too. Then all
-visible text is rendered. Hidden: head, script, style, template, noscript, iframe, object, select lists' and media's inner text, comments, elements with the
-``hidden`` attribute, ``aria-hidden=true`` or ``display: none``, and hidden inputs; with ``visibility: hidden`` an element's own text, which what is below it inherits until it says otherwise. Blanks collapse outside pre and textarea. Blocks start on lines of their own; paragraphs,
+A page becomes a tree: missing end tags are implied (p before a block; li, dt, dd, option, cells and rows before their like), missing rows too; an end tag of a paragraph that isn't open ends a
+line as an empty paragraph does. Then all visible text is rendered. Hidden: head, script, style, template, noscript, iframe, object, datalists' and media's inner text, comments (one without an end runs to
+the page's end), elements with the ``hidden`` attribute, ``aria-hidden=true`` or ``display: none``, hidden inputs, closed dialogs, and closed details but for their summary; with ``visibility: hidden`` an element's own
+text, which what is below it inherits until it says otherwise. All options of a select list are shown, a line each. Blanks collapse outside pre and textarea. Blocks start on lines of their own; paragraphs,
 headings, lists and tables stand apart by an empty line; list items have bullets or numbers and are indented by depth; table cells are
-padded to the width of their column and parted by `` | ``; a cell that spans rows or columns keeps its place free below and beside it, in columns where a cell begins. Tables nested deeper than
-TABLE_DEPTH give their cells as plain blocks, and nothing is indented by more than INDENT. The time is linear in the page, whatever its depth. What stands in a table but in no cell comes before it; forms and the like in a table are looked through for rows and cells.
+padded to the width of their column and parted by `` | ``; a cell that spans rows or columns keeps its place free below and beside it (up to where another cell's place begins), in columns where a cell begins. What stands in a table
+but in no cell comes before it; forms and the like in a table are looked through for rows and cells.
+
+The time is linear in the page but for logarithms, whatever its depth and spans. Padding of all tables of a page is at most PADDING blanks a character of it (and FREE more): a table that would take more is padded to columns of NARROW at
+most, beyond which long lines hang over, and if that is still too much its cells are only parted. Tables nested deeper than TABLE_DEPTH give their cells as plain blocks, and nothing is indented by more than INDENT.
 
 A null or empty page has the empty text. Repeated rows are rendered each. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,6 +47,10 @@ SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Tables nested deeper than this are rendered as plain blocks.
 TABLE_DEPTH = 8
 INDENT = 80
+#: Blanks that pad tables, for each character of the page and for any page; the widest column that is padded in a table that would take more.
+PADDING, FREE, NARROW = 8, 10_000, 40
+#: Elements through which a block doesn't end a paragraph.
+FENCE = frozenset("td th table caption li div object button select datalist".split())
 #: Fixed values of HTML: the widest colspan and rowspan.
 COLSPAN, ROWSPAN = 1000, 65534
 
@@ -51,7 +61,7 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], seen: bool = True):
         """``seen``: the parent's text is visible; then ``seen`` is the node's own, and ``shown`` is whether it is there at all."""
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.shown, self.seen = tag not in HIDDEN, seen
+        self.shown, self.seen = tag not in HIDDEN and (tag != "dialog" or "open" in attrs), seen
         if attrs:
             style = {m[1].lower(): m[2].lower() for m in STYLE.finditer(attrs["style"])} if "style" in attrs else {}
             if "hidden" in attrs or attrs.get("aria-hidden") == "true" or style.get("display") == "none" or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
@@ -63,6 +73,7 @@ class Node:
 class Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.closing = False
         self.root = Node("html", {})
         self.open = [self.root]
         #: Places of each tag's open elements, so that no search walks the open elements.
@@ -88,7 +99,8 @@ class Builder(HTMLParser):
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag in BLOCK:
-            self._end({"p"}, {"td", "th", "table", "li", "div", "object", "button"})
+            if tag not in ("option", "optgroup"):
+                self._end({"p"}, FENCE)
             if tag in ("td", "th") and not any(n.tag == "tr" for n in self.open[-2:]):
                 self._push("tr", {})
         self._push(tag, {k: v or "" for k, v in attrs})
@@ -112,6 +124,17 @@ class Builder(HTMLParser):
         i = self._last({tag})
         if i > 0 and i >= self._last(fence):
             self._cut(i)
+        elif tag == "p":
+            self.handle_starttag("p", [])
+            self._cut(self._last({"p"}))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        found = super().parse_comment(i, report)
+        return len(self.rawdata) if found < 0 and self.closing else found
+
+    def close(self) -> None:
+        self.closing = True
+        super().close()
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
@@ -239,21 +262,64 @@ def span(cell: Node, name: str, most: int) -> int:
     return max(1, min(int(n[:6]), most)) if n.isdigit() and n.isascii() else 1
 
 
-def render_table(found: list[list[Node]], depth: int) -> list[str]:
+class Taken:
+    """Columns that cells of earlier rows hold, as runs that don't touch; each run is let go piece by piece."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []
+
+    def free(self, at: int) -> tuple[int, int | None]:
+        """The first free column from ``at``, and where the next run begins."""
+        i = bisect_right(self.starts, at)
+        if i and self.ends[i - 1] > at:
+            at = self.ends[i - 1]
+        return at, self.starts[i] if i < len(self.starts) else None
+
+    def hold(self, start: int, end: int, row: int) -> None:
+        heapq.heappush(self.until, (row, start, end))
+        i, j = bisect_left(self.ends, start), bisect_right(self.starts, end)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+
+    def let_go(self, row: int) -> None:
+        """Frees what is held up to before ``row``."""
+        while self.until and self.until[0][0] <= row:
+            _, start, end = heapq.heappop(self.until)
+            i = bisect_right(self.starts, start) - 1
+            low, high = self.starts[i], self.ends[i]
+            kept = [(a, b) for a, b in ((low, start), (end, high)) if a < b]
+            self.starts[i : i + 1], self.ends[i : i + 1] = [a for a, _ in kept], [b for _, b in kept]
+
+
+class Room:
+    """How many blanks may still pad tables of a page."""
+
+    def __init__(self, size: int) -> None:
+        self.left = PADDING * size + FREE
+
+
+def render_table(found: list[list[Node]], depth: int, room: Room) -> list[str]:
     rows: list[list[tuple[int, list[str]]]] = []
-    taken: dict[int, int] = {}  # column -> rows that a cell further up still holds there
+    taken = Taken()
+    number = 0
     for row in found:
-        at, cells, held = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
+        if row:
+            taken.let_go(number)
+        at, cells, held = 0, [], []
         for cell in row:
-            while taken.get(at):
-                at += 1
-            cells.append((at, render(cell, depth + 1)))
+            at, limit = taken.free(at)
+            cells.append((at, render(cell, depth + 1, room)))
             wide, high = span(cell, "colspan", COLSPAN), span(cell, "rowspan", ROWSPAN)
+            end = at + wide if limit is None else min(at + wide, limit)
             if high > 1:
-                held.update(dict.fromkeys(range(at, at + wide), high - 1))
-            at += wide
-        if row:
-            taken = held
+                held.append((at, end, number + high))
+            at = end
+        for one in held:
+            taken.hold(*one)
+        number += bool(row)
         rows.append(cells)
     rows = [cells for cells in rows if any(lines for _, lines in cells)]
     column = {c: i for i, c in enumerate(sorted({c for cells in rows for c, _ in cells}))}
@@ -261,6 +327,19 @@ def render_table(found: list[list[Node]], depth: int) -> list[str]:
     for cells in rows:
         for c, lines in cells:
             widths[column[c]] = max(widths[column[c]], *map(len, lines), 0)
+    for most in (None, NARROW):
+        own = widths if most is None else [min(w, most) for w in widths]
+        upto = [0]
+        for w in own:
+            upto.append(upto[-1] + w + 3)
+        blanks = sum(upto[column[cells[-1][0]]] * max(len(lines) for _, lines in cells) for cells in rows)
+        if blanks <= room.left:
+            room.left -= blanks
+            return _padded(rows, column, own)
+    return [" | ".join(lines[k] for _, lines in cells if k < len(lines)) for cells in rows for k in range(max(len(lines) for _, lines in cells))]
+
+
+def _padded(rows: list[list[tuple[int, list[str]]]], column: dict[int, int], widths: list[int]) -> list[str]:
     out = []
     for cells in rows:
         for k in range(max(len(lines) for _, lines in cells)):
@@ -272,9 +351,9 @@ def render_table(found: list[list[Node]], depth: int) -> list[str]:
     return out
 
 
-def render(root: Node, depth: int = 0) -> list[str]:
+def render(root: Node, depth: int = 0, room: Room | None = None) -> list[str]:
     """The lines of what is below ``root``; one stack instead of recursion, so depth does no harm."""
-    page = Page()
+    page, room = Page(), room or Room(0)
     stack: list[tuple[Node, Iterator, bool, dict]] = [(root, iter(root.children), root.tag in ("pre", "textarea"), {"n": 0})]
     items = int(root.tag == "li")
     while stack:
@@ -289,11 +368,12 @@ def render(root: Node, depth: int = 0) -> list[str]:
                     page.mark = ""
                     items -= 1
             continue
+        folded = node.tag == "details" and "open" not in node.attrs
         if isinstance(child, str):
-            if node.seen:
+            if node.seen and not folded:
                 page.exact(child) if exact else page.text(child)
             continue
-        if not child.shown:
+        if not child.shown or (folded and child.tag != "summary"):
             continue
         tag, below = child.tag, {"n": 0}
         if tag == "br":
@@ -307,7 +387,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
             rows, captions, rest = table_parts(child)
             loose = Node("div", {})
             loose.children = rest
-            for lines in (render(loose, depth + 1), [x for c in captions for x in render(c, depth + 1)] + render_table(rows, depth)):
+            for lines in (render(loose, depth + 1, room), [x for c in captions for x in render(c, depth + 1, room)] + render_table(rows, depth, room)):
                 for line in lines:
                     page.exact(line)
                     page.end(keep=True)
@@ -344,7 +424,7 @@ def visible_text(html: str) -> str:
     builder = Builder()
     builder.feed(html)
     builder.close()
-    return "\n".join(render(builder.root))
+    return "\n".join(render(builder.root, 0, Room(len(html))))
 
 
 def extract(pages: DataFrame) -> DataFrame:

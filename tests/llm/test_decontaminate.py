@@ -130,3 +130,19 @@ def test_templated_items_are_quick():
     began = time.process_time()
     assert D.leaks(index, [text]) == []
     assert time.process_time() - began < 8  # linear in items and repeats; about a second where nothing else runs
+
+
+def test_items_that_share_a_leaked_stem_are_quick():
+    rng = random.Random(7)
+    stem = prose(rng, 60)[:174].strip()
+    items = [(i, f"{stem} {rng.getrandbits(300):x} {rng.getrandbits(300):x}") for i in range(3000)]
+    index = D.make_index(items)
+    for repeats in (1, 10):
+        text = " ".join(f"{stem} {prose(rng, 25)}" for _ in range(repeats))
+        began = time.process_time()
+        found = D.leaks(index, [text])
+        assert time.process_time() - began < 6  # under 3 s where nothing else runs
+        assert {(y, edits) for _, y, edits, _, _ in found} == {(i, 0) for i in range(3000)}
+    some = D.make_index(items[:40])
+    noisy = " ".join(stem[:50] + "x" + stem[51:100] + stem[101:] + " " + prose(rng, 9) for _ in range(3))
+    assert D.leaks(some, [noisy, text]) == [(x, y, *rest) for x in (0, 1) for y in range(40) for _, _, *rest in D.leaks(D.make_index([items[y]]), [(noisy, text)[x]])]

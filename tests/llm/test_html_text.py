@@ -73,6 +73,50 @@ def test_time_is_linear_in_depth():
         assert seconds(piece * 16_000) < 12 * max(0.02, seconds(piece * 4_000)), piece
 
 
+def test_words_of_different_blocks_stay_apart():
+    assert visible_text("x<br>y</p>z") == "x\ny\n\nz"
+    assert visible_text("<p>a<select><option>One<option>Two</select>b") == "a\nOne\nTwo\nb"
+    assert visible_text("<p>a<datalist><option>no</datalist>b") == "ab"
+    rng = random.Random(6)
+    breaks = "<p> </p> <div> <li> <tr> <td> <h2> <option> <br> <dt> <section> <table> <pre>".split()
+    inline = "<b> </b> <span> </i> <select> </div> </table> <form> </select> </td>".split()
+    for _ in range(600):
+        out, n = [], 0
+        for _ in range(rng.randrange(1, 14)):
+            n += 1
+            out.append(f"w{n}x" + "".join(rng.choices(inline, k=rng.randrange(3))) + rng.choice(breaks) + "".join(rng.choices(inline, k=rng.randrange(3))))
+        text = visible_text("".join(out))
+        assert sorted(re.findall(r"w[0-9]+x", text)) == sorted(f"w{i + 1}x" for i in range(n)), "".join(out)
+        assert not re.search("xw", text), "".join(out)
+
+
+def test_comments_details_and_dialogs():
+    assert visible_text("<p>a<!-- b <p>c") == "a"
+    assert visible_text("<p>a<!-- b --><i>c</i><!-- d") == "ac"
+    assert visible_text("<details>x<summary>s</summary><p>y</details><details open><summary>t</summary>z</details>") == "s\nt\nz"
+    assert visible_text("<dialog>x</dialog><dialog open>y</dialog>") == "y"
+
+
+def test_spans_take_little_time_and_padding_is_bounded():
+    def seconds(page):
+        began = time.process_time()
+        visible_text(page)
+        return time.process_time() - began
+
+    def page(cells, rows):
+        return "<table><tr>" + "<td colspan=1000 rowspan=65534>x" * cells + "<tr><td>y" * rows
+
+    assert seconds(page(320, 700)) < 0.5  # 16 KB
+    assert seconds(page(3200, 7000)) < 5
+    ladder = "<table><tr>" + "".join(f"<td rowspan={i + 2}>" for i in range(4000)) + "<tr><td>z" * 4000
+    assert seconds(ladder) < 5
+    for big in ("<table><tr><td>" + "long " * 20_000 + "<tr><td>a<td>b" * 1000, "<table><tr>" + "<td>" + "w" * 80 + "".join("<td>" + "w" * 80 for _ in range(1000)) + "<tr><td colspan=1000>x<td>y" * 1000, "<table><tr><td>" * 7 + "v" * 5000 + "<tr><td>q" * 500):
+        assert len(visible_text(big)) < 10 * len(big) + 20_000
+    assert visible_text("<table><tr><td>" + "long " * 20_000 + "<tr><td>a<td>b" * 1000).endswith("\na" + " " * 39 + " | b")
+    assert visible_text("<table><tr><td rowspan=2>A<td rowspan=3>B<td>C<tr><td>D<tr><td>E<td>F") == "A | B | C\n  |   | D\nE |   | F"
+    assert visible_text("<table><tr><td>a<td rowspan=2>b<tr><td colspan=3>c<td>d") == "a | b\nc |   | d"
+
+
 def test_random_trees_keep_every_visible_word():
     rng = random.Random(3)
     tags = "div p ul ol li table tr td th tbody form span b section h2 dl dt dd blockquote pre a select option caption body".split()
