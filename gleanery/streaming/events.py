@@ -36,10 +36,16 @@ def tumbling(events: DataFrame, width: str, keys: list[str], late: str = "1 minu
     return source.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
-def throttle(events: DataFrame, key: str, interval_ms: int, time: str = "ts") -> DataFrame:
-    """Events of a key at least ``interval_ms`` after the last one let through; state is the time of that one."""
+def throttle(events: DataFrame, key: str, interval_ms: int, time: str = "ts", late: str | None = None) -> DataFrame:
+    """Events of a key at least ``interval_ms`` after the last one let through; state is the time of that one.
+
+    With ``late``, the stream gets a watermark, and a key's state goes when it has passed the interval, since what comes after is let through anyway; without, each key's state stays.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else -(1 << 60)
         for frame in frames:
             keep = []
@@ -50,9 +56,15 @@ def throttle(events: DataFrame, key: str, interval_ms: int, time: str = "ts") ->
                 last = now if ok else last
             yield frame[keep][[key, time]]
         state.update((int(last),))
+        if late is not None and last + interval_ms > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(int(last) + interval_ms)
+        elif late is not None:
+            state.remove()
 
     kind = dict(events.dtypes)
-    return events.select(key, time).groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {time} {kind[time]}", "last long", "append", GroupStateTimeout.NoTimeout)
+    own = events.select(key, time) if late is None else events.select(key, time).withWatermark(time, late)
+    expiry = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return own.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {time} {kind[time]}", "last long", "append", expiry)
 
 
 def drain(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
