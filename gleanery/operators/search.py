@@ -66,11 +66,11 @@ def ranked(df: DataFrame, order: list[Column], limit: int | None = None) -> Data
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def search(items: DataFrame, query_vector: list[float] | None, query: str, *, limit: int = 40, kind: str | None = None, expanded: list[str] | None = None, lexical: str = "scan") -> DataFrame:
+def search(items: DataFrame, query_vector: list[float] | None, query: str, *, limit: int = 40, kind: str | None = None, expanded: list[str] | None = None, lexical: str = "scan", hits: DataFrame | None = None) -> DataFrame:
     """id, hybrid_score, rrf_score, rank of the best items.
 
     ``items``: id, kind, embedding, caption_embedding, search_text (lower case), tags, modified_at. With ``lexical="scan"`` terms and expansions are part of
-    the score and there is one ranked list; with ``"bm25"`` they are left to a second list that weighs double. The list is cut
+    the score and there is one ranked list; with ``"bm25"`` they are left to a second list that weighs double: ``hits`` (id, bm25) of an index, or what a scan of search_text finds. The list is cut
     to the best rows before anything is numbered, so no more than these go to one task.
     """
     chosen = scope(items, kind, query)
@@ -87,7 +87,7 @@ def search(items: DataFrame, query_vector: list[float] | None, query: str, *, li
     if not plain:
         top = ranked(scored.select("id", "modified_at", "hybrid_score"), order, limit)
         return top.select("id", "hybrid_score", (F.lit(DENSE_WEIGHT) / (F.lit(RRF_K) + F.col("rank"))).alias("rrf_score"), "rank")
-    hits = bm25(chosen, ["search_text"], [1.0], exact + (expanded or []))
+    hits = bm25(chosen, ["search_text"], [1.0], exact + (expanded or [])) if hits is None else hits.join(chosen.select("id"), "id", "left_semi")
     lexical_list = ranking.ranked(hits, [], [F.desc("bm25"), F.asc("id")]).select("id", F.lit(1).alias("list"), "rank", F.lit(LEXICAL_WEIGHT).alias("weight"))
     dense_list = ranking.ranked(scored.drop("search_text"), [], order).select("id", F.lit(0).alias("list"), "rank", F.lit(DENSE_WEIGHT).alias("weight"))
     fused = fuse(dense_list.unionByName(lexical_list)).join(scored.drop("search_text"), "id")
