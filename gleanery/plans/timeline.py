@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators import intervals
+from gleanery.operators import composing, intervals
 from gleanery.plans.register import query
 from gleanery.sources.tables import table
 from gleanery.streaming import events as streams
@@ -97,3 +97,31 @@ def tumbling_totals(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT user_id, props FROM events)")
 def dedupe_events(spark: SparkSession, d: str) -> DataFrame:
     return streams.once(table(spark, d, "events"), ["user_id", "props"]).agg(F.count("*").alias("n"))
+
+
+RECTS = f"""k AS (SELECT user_id AS entity, epoch_us(ts) - {START} AS t, max_by({{'x': (event_id % 10) / 9, 'y': (event_id % 7) / 8, 'w': value / 150, 'h': 0.5::DOUBLE, 'hold': event_id % 3 = 0, 'm': 'm' || (event_id % 2)}}, event_id) AS v FROM events WHERE event_type = 'click' GROUP BY ALL),
+p AS (SELECT DISTINCT user_id AS entity, epoch_us(ts) - {START} AS time_us FROM events WHERE event_type IN ('view', 'click')), s AS (SELECT user_id AS entity, epoch_us(ts) - {START} AS a, epoch_us(ts) - {START} + 86400000000 AS b FROM events WHERE event_type = 'signup')"""
+
+
+@query(f"""WITH {RECTS}, l AS (SELECT p.entity, p.time_us, k.t AS t0, k.v AS a FROM p ASOF LEFT JOIN k ON p.entity = k.entity AND p.time_us >= k.t), n AS (SELECT l.*, k.t AS t1, k.v AS b FROM l ASOF LEFT JOIN k ON l.entity = k.entity AND l.time_us < k.t),
+i AS (SELECT entity, time_us, coalesce(a.m, b.m) AS mode, CASE WHEN a IS NULL THEN [b.x, b.y, b.w, b.h] WHEN b IS NULL OR a.hold THEN [a.x, a.y, a.w, a.h] ELSE [a.x + (b.x - a.x) * (time_us - t0) / (t1 - t0), a.y + (b.y - a.y) * (time_us - t0) / (t1 - t0), a.w + (b.w - a.w) * (time_us - t0) / (t1 - t0), 0.5] END AS r,
+  EXISTS (SELECT 1 FROM s WHERE s.entity = n.entity AND time_us BETWEEN s.a AND s.b) OR NOT EXISTS (SELECT 1 FROM s WHERE s.entity = n.entity) AS shown FROM n)
+SELECT entity, time_us, CASE WHEN shown THEN round(r[1], 6) END AS x, CASE WHEN shown THEN round(r[2], 6) END AS y, CASE WHEN shown THEN round(least(r[3], 1 - r[1]), 6) END AS width, CASE WHEN shown THEN round(least(r[4], 1 - r[2]), 6) END AS height, CASE WHEN shown THEN mode END AS mode FROM i""")
+def rect_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks as corrections of a user's rectangle, clicks and views as points, the day after each sign-up as the time in which it is shown."""
+    i = F.col("event_id")
+    e = table(spark, d, "events").select(F.col("user_id").alias("entity"), _us().alias("time_us"), "value", i.alias("ordinal"), "event_type", ((i % 10) / 9).alias("x"), ((i % 7) / 8).alias("y"), (F.col("value") / 150).alias("width"), F.lit(0.5).alias("height"), F.when(i % 3 == 0, "hold").otherwise("linear").alias("easing"), F.concat(F.lit("m"), (i % 2).cast("string")).alias("mode"))
+    active = e.filter("event_type = 'signup'").select("entity", F.col("time_us").alias("start_us"), (F.col("time_us") + 86_400_000_000).alias("end_us"))
+    found = composing.rects(e.filter("event_type in ('view', 'click')").select("entity", "time_us").distinct(), e.filter("event_type = 'click'"), active)
+    return found.select("entity", "time_us", *[F.round(c, 6).alias(c) for c in composing.SIDES], "mode")
+
+
+@query(None)
+def composition_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks of a user as ranges of some minutes, every fifth sign-up as a card, users in turn at four speeds; tests hold this against brute force."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("entity"), _us().alias("time_us"), "value", F.col("event_id").alias("ordinal"), "event_type")
+    projects = e.select("entity").distinct().select("entity", F.lit(MONTH).alias("duration_us"), F.get(F.array(*[F.lit(s) for s in (0.5, 1.0, 1.5, 2.0)]), (F.col("entity") % 4).cast("int")).alias("speed"))
+    ranges = e.filter("event_type = 'click'").select("entity", F.col("time_us").alias("start_us"), (F.col("time_us") + F.col("value").cast("long") * 60_000_000).alias("end_us"))
+    cards = e.filter("event_type = 'signup' and ordinal % 5 = 0").select("entity", "ordinal", F.lit("cards/one.png").alias("uri"), ((F.col("value") + 1).cast("long") * 100_000 + 200_000).alias("duration_us"), F.floor(F.col("time_us") / 10_000).alias("at_us"))
+    segments, _ = composing.compositions(projects, ranges, cards, 10_000)
+    return segments
