@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text
 from gleanery.operators import mining
 from gleanery.plans.register import query
+from gleanery.sources import harvest
 from gleanery.sources.tables import table
 
 NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(w), '[''’`]', '', 'g'), '[_/]+', ' ', 'g'), '[^a-z0-9 +-]+', ' ', 'g'), '\s+', ' ', 'g'))"""
@@ -70,3 +71,22 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lower(label) ORDER BY tier, ord,
 def vocabulary_tiers(spark: SparkSession, d: str) -> DataFrame:
     named = lambda t, label, ord: table(spark, d, t).groupBy(F.col(label).alias("label")).agg(F.min(ord).cast("long").alias("ord"))
     return mining.vocabulary(named("region", "r_name", "r_regionkey"), (named("nation", "n_name", "n_nationkey"), 10), (named("part", "p_brand", "p_partkey"), 5))
+
+
+@query("""WITH e AS (SELECT doc_id AS page, unnest([{'name': source || ' ' || lang, 'slug': '', 'tags': [lang, source]}, {'name': '', 'slug': 'n-' || (n_chars % 50), 'tags': [source]}]) AS e, unnest([0, 1]) AS place FROM documents),
+n AS (SELECT CASE WHEN e.name = '' THEN replace(e.slug, '-', ' ') ELSE e.name END AS term, 100001 - row_number() OVER (ORDER BY page, place) AS weight FROM e), t AS (SELECT term, count(*) AS weight FROM (SELECT page, place, unnest(list_distinct(e.tags)) AS term FROM e) GROUP BY term HAVING count(*) >= 2),
+u AS (SELECT * FROM n UNION ALL SELECT * FROM t) SELECT term, max(weight) AS weight FROM u GROUP BY term""")
+def harvested_names(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as wrapped lists of two entries, one named and one with a slug; each term's heaviest candidate."""
+    entry = lambda name, slug, *tags: F.struct(name.alias("name"), slug.alias("slug"), F.array(*tags).alias("tags"))
+    listed = F.array(entry(F.concat_ws(" ", "source", "lang"), F.lit(""), "lang", "source"), entry(F.lit(""), F.concat(F.lit("n-"), (F.col("n_chars") % 50).cast("string")), "source"))
+    pages = table(spark, d, "documents").select(F.lit("named").alias("source"), F.col("doc_id").alias("page"), F.to_json(F.struct(F.lit("ok").alias("status"), listed.alias("results"))).alias("payload"))
+    return harvest.heaviest(harvest.candidates(pages, harvest.NAMED)).select("term", F.col("weight").cast("long").alias("weight"))
+
+
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)href=["\'']/([a-z0-9][a-z0-9-]*)["\'']', 1) AS s FROM pages), f AS (SELECT lower(unnest(s)) AS s, page_id, generate_subscripts(s, 1) AS p FROM l), o AS (SELECT s, min(page_id * 1000000 + p) AS a0 FROM f WHERE s <> 'the' GROUP BY s)
+SELECT regexp_replace(s, '-+', ' ', 'g') AS term, 100001 - row_number() OVER (ORDER BY a0) AS weight FROM o""")
+def harvested_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the pages as slugs, by their first place."""
+    pages = table(spark, d, "pages").select(F.lit("site").alias("source"), F.col("page_id").alias("page"), F.col("html").alias("payload"))
+    return harvest.slug_candidates(pages, "site", "/", ("the",)).select("term", F.col("weight").cast("long").alias("weight"))
