@@ -103,14 +103,23 @@ def propagate(sources: DataFrame, candidates: DataFrame, active_model: str, cap:
 
 
 def twins(items: DataFrame, described: DataFrame, threshold: float = TWIN) -> DataFrame:
-    """id, twin, score: for each item the described item of equal normalised text whose vector is nearest, if near enough.
+    """id, twin, score: for each item the described item of equal normalised text whose vector is nearest, if near enough; of equally near ones the larger id.
 
-    An equi-join on the text; of equally near ones the larger id wins.
+    Texts are known by two 64-bit hashes. Rows of one text and vector count as one: of described ones the two largest ids stay, since only an item itself can be passed over, so copies never meet in pairs; different
+    vectors of one text do.
     """
-    left = items.filter(text.label("ocr_text") != "").select("id", text.label("ocr_text").alias("_t"), F.col("embedding").alias("_a"))
-    right = described.filter(text.label("ocr_text") != "").select(F.col("id").alias("twin"), text.label("ocr_text").alias("_t"), F.col("embedding").alias("_b"))
-    scored = left.join(right, "_t").filter("id <> twin").select("id", "twin", vectors.dot("_a", "_b").alias("score")).filter(F.col("score") >= threshold)
-    return scored.groupBy("id").agg(F.max(F.struct("score", "twin")).alias("m")).select("id", "m.twin", "m.score")
+    key = ["_t", "_u"]
+    hashed = lambda df: df.filter(text.label("ocr_text") != "").select("id", F.xxhash64(text.label("ocr_text")).alias("_t"), F.xxhash64(F.lit(1), text.label("ocr_text")).alias("_u"), F.col("embedding").alias("_v"))
+    own, known = hashed(items), hashed(described)
+    # the largest id, and the largest of the others
+    top = known.groupBy(*key, "_v").agg(F.max("id").alias("_one"))
+    other = known.join(top, [*key, "_v"]).filter(F.col("id") < F.col("_one")).groupBy(*key, "_v").agg(F.max("id").alias("_two"))
+    right = top.join(other, [*key, "_v"], "left").select(*key, F.col("_v").alias("_b"), F.array_compact(F.array("_one", "_two")).alias("_ids"))
+    left = own.select(*key, F.col("_v").alias("_a")).distinct()
+    scored = left.join(right, key).withColumn("score", vectors.dot("_a", "_b")).filter(F.col("score") >= threshold)
+    best = scored.select(*key, "_a", "score", F.explode("_ids").alias("twin")).groupBy(*key, "_a").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "twin")), asc=False), 1, 2).alias("_best"))
+    met = own.join(best.withColumnRenamed("_a", "_v"), [*key, "_v"]).withColumn("_m", F.get(F.filter("_best", lambda x: x["twin"] != F.col("id")), F.lit(0)))
+    return met.filter("_m is not null").select("id", "_m.twin", "_m.score")
 
 
 def clusters(items: DataFrame, threshold: float = CLUSTER, least: int = 2, texts: int = 2) -> DataFrame:

@@ -97,27 +97,33 @@ def zip_plan(spark: SparkSession, d: str) -> DataFrame:
     return files.zip_plan(rows, known).select("ord", "name", "verdict")
 
 
-FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({t}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({t}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 
-@query(f"SELECT p_partkey, {FNV.format(t='p_name')} AS hash FROM part")
+@query(f"SELECT doc_id, {FNV.format(t='text')} AS hash FROM documents")
 def content_hash_fnv(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", hashing.fnv1a("p_name").alias("hash"))
+    """Of whole texts; they hold no character of two units, for which the SQL would differ."""
+    return table(spark, d, "documents").select("doc_id", hashing.fnv1a("text").alias("hash"))
 
 
-@query(f"SELECT lpad(lower(to_hex({FNV.format(t='p_name')} % 64)), 2, '0') AS chunk, count(*) AS rows FROM part GROUP BY 1")
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").withColumn("name", F.concat_ws("/", "source", "lang", "doc_id"))
+
+
+@query(f"SELECT lpad(lower(to_hex({FNV.format(t="(source || '/' || lang || '/' || doc_id)")} % 64)), 2, '0') AS chunk, count(*) AS rows FROM documents GROUP BY 1")
 def mirror_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return mirror.manifest(mirror.chunks(table(spark, d, "part").withColumnRenamed("p_name", "name"))).select("chunk", "rows")
+    return mirror.manifest(mirror.chunks(_named(spark, d))).select("chunk", "rows")
 
 
 @query(None)
 def mirror_digest(spark: SparkSession, d: str) -> DataFrame:
-    return mirror.manifest(mirror.chunks(table(spark, d, "part").withColumnRenamed("p_name", "name")))
+    """Digests of whole documents; Spark's hashes have no SQL, a test holds them against Python's."""
+    return mirror.manifest(mirror.chunks(_named(spark, d)))
 
 
-@query("SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hash FROM part")
+@query("SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hash FROM documents")
 def text_hash31(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", hashing.text_hash31("p_name").alias("hash"))
+    return table(spark, d, "documents").select("doc_id", hashing.text_hash31("text").alias("hash"))
 
 
 @query("""SELECT doc_id FROM (SELECT doc_id, list_transform(string_split(sha1(doc_id::VARCHAR), ''), lambda h: strpos('0123456789abcdef', h) - 1) AS x FROM documents) WHERE x[40] % 4 = 0 AND list_sum(x) % 5 = 0""")

@@ -135,12 +135,9 @@ def propagate_labels(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH d AS (SELECT doc_id, lower(trim(text, E' \\t\\n\\r\\f\\x0B')) AS t FROM documents WHERE text <> ''), c AS (SELECT a.doc_id AS id, b.doc_id AS twin FROM d a JOIN d b USING (t) WHERE a.doc_id <> b.doc_id)
 SELECT id, max(twin) AS twin FROM c GROUP BY id""")
 def twin_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Equal normalised texts; every document has the same unit vector, so the text decides. Only the last twin of each text can win, so copies never meet in pairs."""
-    rows = table(spark, d, "documents").filter("text <> ''").select(F.col("doc_id").alias("id"), F.xxhash64(text.label("text")).alias("_a"), F.xxhash64(F.lit(1), text.label("text")).alias("_b"))
-    top = rows.groupBy("_a", "_b").agg(F.max("id").alias("_m"), F.count("*").alias("_n")).filter("_n > 1")
-    met = rows.join(top, ["_a", "_b"])
-    second = met.filter("id <> _m").groupBy("_a", "_b").agg(F.max("id").alias("_s"))
-    return met.join(second, ["_a", "_b"]).select("id", F.when(F.col("id") == F.col("_m"), F.col("_s")).otherwise(F.col("_m")).alias("twin"))
+    """Equal normalised texts; every document has the same unit vector, so the text decides."""
+    rows = table(spark, d, "documents").filter("text <> ''").select(F.col("doc_id").alias("id"), F.col("text").alias("ocr_text"), F.array(F.lit(1.0)).alias("embedding"))
+    return similar.twins(rows, rows).select("id", "twin")
 
 
 @query("SELECT min(doc_id) AS first, count(*) AS copies, count(DISTINCT source) AS sources FROM documents GROUP BY text HAVING count(*) > 1")
