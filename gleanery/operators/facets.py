@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text
 
-#: The most phrases that are broadcast; a larger vocabulary is refused.
-MOST_PHRASES = 10_000
+#: First characters by which phrases meet labels.
+GRAM = 3
 #: Fixed value: facets in the order in which one is chosen.
 PRIORITY = ("character", "person", "format", "action", "object", "setting", "situation", "emotion", "tone", "topic")
 #: Fixed value: the facet that exemplars were filed under before.
@@ -19,12 +19,16 @@ OLD_FACET = "character"
 
 
 def tag_facets(labels: DataFrame, words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """label (as it is) and facet, each pair once; labels without a facet don't appear."""
-    if phrases.limit(MOST_PHRASES + 1).count() > MOST_PHRASES:
-        raise ValueError(f"more than {MOST_PHRASES} phrases")
+    """label (as it is) and facet, each pair once; labels without a facet don't appear.
+
+    A phrase counts wherever it stands in a label, in the middle of words too. Phrases meet labels by their first characters, GRAM at most, and are then looked for, so any number of them is joined, not tried one by one.
+    """
     own = labels.select("label").distinct().withColumn("_t", text.label("label")).filter("_t <> ''")
     by_word = own.select("label", F.explode(F.array_distinct(F.split("_t", "[^a-z0-9]+"))).alias("word")).join(words.select("word", "facet"), "word").select("label", "facet")
-    by_phrase = own.join(F.broadcast(phrases.select("phrase", "facet")), F.contains(F.col("_t"), F.col("phrase"))).select("label", "facet")
+    known = phrases.select("phrase", "facet").filter("phrase <> ''").withColumn("_g", F.substring("phrase", 1, GRAM))
+    starts = F.sequence(F.lit(1), F.length("_t"))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("_t"), i, F.lit(n)) for n in range(1, GRAM + 1)]))))
+    by_phrase = own.withColumn("_g", F.explode(grams)).join(known, "_g").filter(F.contains("_t", "phrase")).select("label", "facet")
     return by_word.union(by_phrase).distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
@@ -27,8 +27,10 @@ def debounce(events: DataFrame, quiet: str, keys: list[str], late: str = "1 minu
 
 
 def once(events: DataFrame, keys: list[str], late: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Each key's first event within the watermark; redelivered ones go."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    """Each key's first event; redelivered ones go. On a stream the first to arrive, for as long as the watermark allows; on a batch the first by ``time`` (of equal times one of them)."""
+    if events.isStreaming:
+        return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return events.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(time))).filter("_r = 1").drop("_r")
 
 
 def tumbling(events: DataFrame, width: str, keys: list[str], late: str = "1 minute", time: str = "ts") -> DataFrame:

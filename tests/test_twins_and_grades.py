@@ -5,7 +5,7 @@ import struct
 import xxhash
 from pyspark.sql import functions as F
 
-from gleanery.operators import grading, similar
+from gleanery.operators import facets, grading, similar
 from gleanery.sources import mirror
 
 
@@ -65,3 +65,12 @@ def test_grades_of_odd_rows(spark):
     tags = [(i, t) for i in range(4) for t in ("Big-Cat", "big_cat", "no", "x" * 41, "one two three four five six")] + [(9, "rare")]
     kept, relevant = grading.golden_aspects(spark.createDataFrame(tags, "id long, tag string"))
     assert [tuple(r) for r in kept.collect()] == [("big cat", 4)] and relevant.count() == 4
+
+
+def test_any_number_of_phrases(spark):
+    rng = random.Random(3)
+    labels = ["endgame overs", "go", "a", "It's  over", "xyz"] + ["".join(rng.choices("abc d", k=rng.randrange(1, 14))) for _ in range(60)]
+    phrases = [("game over", "action"), ("go", "topic"), ("a", "tone"), ("over", "emotion"), ("zz", "tone")] + [("".join(rng.choices("abcd", k=rng.randrange(1, 5))), "format") for _ in range(40)]
+    got = facets.tag_facets(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([("xyz", "person")], "word string, facet string"), spark.createDataFrame(phrases, "phrase string, facet string"))
+    want = {(x, f) for x in labels for p, f in phrases if p in x.strip().lower() and x.strip()} | {("xyz", "person")}
+    assert {tuple(r) for r in got.collect()} == want
