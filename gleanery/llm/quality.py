@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         for batch in batches:
             listed = batch.column(2)
             flat, at = listed.values.to_numpy(), listed.offsets.to_numpy()
-            words += [flat[a:b].astype(np.int64) for a, b in zip(at[:-1], at[1:])]
+            words += [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
             stats += [np.array(x) for x in batch.column(3).to_pylist()]
             labels += batch.column(1).to_pylist()
         machine = fit(words, np.array(stats).reshape(-1, len(STATISTICS)), np.array(labels, np.float64))
