@@ -120,3 +120,32 @@ def test_many_languages(spark):
     assert model.languages == sorted({r[2] for r in taught})
     names = model.predict([r[1] for r in taught])[0]
     assert sum(n == r[2] for n, r in zip(names, taught)) > 0.85 * len(taught)
+
+
+def test_codeword_training_and_decoding_equal_recomputation(spark, rng):
+    """Shares, bits' log-odds, their trust, losses and the choice, one language, bit and text at a time."""
+    languages = sorted(SOUNDS)
+    rows = [(i, say(rng, languages[i % len(languages)], rng.randrange(1, 30)), languages[i % len(languages)]) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    counts = {x: np.zeros(language_id.DIMENSIONS) for x in languages}
+    for _, text, lang in taught:
+        np.add.at(counts[lang], language_id.trigrams([text])[0], 1)
+    shares = {x: (n + language_id.SMOOTH) / (n.sum() + language_id.SMOOTH * language_id.DIMENSIONS) for x, n in counts.items()}
+    assert model.languages == languages
+    odds, trust = [], []
+    for b in range(model.code.shape[1]):
+        one = np.mean([shares[x] for x, c in zip(languages, model.code) if c[b] > 0], axis=0)
+        zero = np.mean([shares[x] for x, c in zip(languages, model.code) if c[b] < 0], axis=0)
+        odds.append(np.log(one / zero))
+        trust.append(((one - zero) * odds[-1]).sum())
+    trust = np.array(trust) / np.mean(trust)
+    for r in language_id.predict(docs, model).collect():
+        gram = language_id.trigrams([rows[r.doc_id][1]])[0]
+        outcome = [o[gram].mean() for o in odds]
+        loss = [sum(t * np.logaddexp(0, -language_id.SHARPNESS * x * c) for t, x, c in zip(trust, outcome, code)) for code in model.code]
+        share = np.exp(min(loss) - np.array(loss))
+        assert r.lang_pred == languages[int(np.argmin(loss))] or sorted(loss)[1] - min(loss) < 1e-3
+        assert abs(r.score - share.max() / share.sum()) < 1e-3
+        assert r.ambiguous == (sorted(loss)[1] - min(loss) < language_id.AMBIGUOUS) or abs(sorted(loss)[1] - min(loss) - language_id.AMBIGUOUS) < 1e-3

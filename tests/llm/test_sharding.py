@@ -1,7 +1,10 @@
 import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
+
 from gleanery.llm import sharding
 
 
@@ -39,3 +42,26 @@ def test_changed_weight_moves_only_in_its_subtree(spark):
         if r.shard not in range(5, 10):
             assert after[i].shard == r.shard
     assert not any(r.shard in (5, 6) for r in after.values())
+
+
+def drawn(key, path, children):
+    """The child with the least draw; equal draws go by name."""
+    best = None
+    for name, weight in children.items():
+        h = xxhash.xxh64_intdigest(f"{path}/{name}".encode(), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+        one = (-math.log(((h >> 11) + 0.5) / (1 << 53)) / weight, name)
+        best = one if best is None or one < best else best
+    return best[1]
+
+
+def test_placement_equals_recomputation(spark):
+    tree = [(r, k, s, 1.0 + s % 3) for r, k, s, _ in sharding.fleet(43, 40)]
+    regions, racks, shards = Counter(), {}, {}
+    for r, k, s, w in tree:
+        regions[r] += w
+        racks.setdefault(r, Counter())[k] += w
+        shards.setdefault((r, k), {})[str(s)] = w
+    for row in sharding.place(spark.range(400).withColumnRenamed("id", "doc_id"), "doc_id", tree, "shard").collect():
+        region = drawn(row.doc_id, "", regions)
+        rack = drawn(row.doc_id, region, racks[region])
+        assert (row.shard_region, row.shard_rack, row.shard) == (region, rack, int(drawn(row.doc_id, f"{region}/{rack}", shards[region, rack])))
