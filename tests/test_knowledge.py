@@ -64,7 +64,7 @@ def items(spark, rows=ITEMS):
     return spark.createDataFrame(full, f"id long, embedding array<double>, ocr_text string, tags {T.TAGS}, extra_terms string")
 
 
-@pytest.mark.parametrize("part_bytes", [K.PART_BYTES, 200])
+@pytest.mark.parametrize("part_bytes", [K.PART_BYTES, 900])
 def test_blocks_equal_one_by_one(spark, part_bytes):
     found = K.scored(items(spark), knowledge(spark), part_bytes=part_bytes, chain=3).withColumn("seen", K.classified(F.col("prompts"), F.col("taught"))).collect()
     got = {r.id: [(t.label, round(t.score, 6)) for t in r.seen] for r in found}
