@@ -94,6 +94,6 @@ def test_registry():
 
     names = entry.queries()
     assert set(registry.QUERIES) <= set(names) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
     assert not [f for f in os.listdir(os.path.dirname(P.__file__)) if f.endswith(".parquet")]
