@@ -29,8 +29,8 @@ from gleanery.sources import tables
 
 K1, B = 1.2, 0.75
 LEVELS, BUCKETS = 16, 64
-#: Postings that a file of a bucket is meant to hold, and rows that are broadcast at most.
-FILE_ROWS, BROADCAST_ROWS = 2_000_000, 500_000
+#: Postings that a task sorts and a file holds, about, and rows that are broadcast at most.
+FILE_ROWS, BROADCAST_ROWS = 500_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -60,15 +60,28 @@ def tokens(field: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(field, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _runs(entries: Column) -> Column:
+    """Where the runs of one term begin in a sorted array, and its size at the end."""
+    key = lambda i: F.get(entries, i)["term"]
+    return F.concat(F.filter(F.sequence(F.lit(0), F.greatest(F.size(entries) - 1, F.lit(0))), lambda i: (i < F.size(entries)) & ((i == 0) | (key(i) != key(i - 1)))), F.array(F.size(entries)))
+
+
 def forward(items: DataFrame, fields: tuple[str, ...], weights: tuple[float, ...]) -> DataFrame:
-    """id, length, terms (term, tf) and alive of each row; of rows with one id the last by content."""
+    """id, length, terms (term, tf) and alive of each row; of rows with one id the last by content.
+
+    A row's tokens are counted in its own arrays, sorted, so a task holds one row's tokens at a time and none are shuffled.
+    """
     own = items.groupBy("id").agg(F.max(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])).alias("_r")).select("id", "_r.*")
     marked = lambda f, i: F.transform(tokens(F.col(f)), lambda w: F.struct(w.alias("term"), F.lit(i).alias("field")))
-    every = F.concat(*[marked(f, i) for i, f in enumerate(fields)])
-    words = own.select("id", every.alias("_w")).select("id", F.size("_w").cast("long").alias("length"), F.explode_outer("_w").alias("_w")).repartition("id")
-    tf = sum((F.count_if(F.col("_w.field") == i) * F.lit(float(x)) for i, x in enumerate(weights)), F.lit(0.0))
-    counted = words.groupBy("id", "length", F.col("_w.term").alias("term")).agg(tf.alias("tf"))
-    return counted.groupBy("id", "length").agg(F.array_compact(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("terms"), F.lit(True).alias("alive"))
+    words = own.select("id", F.sort_array(F.concat(*[marked(f, i) for i, f in enumerate(fields)])).alias("_w"))
+    runs = words.select("id", "_w", _runs(F.col("_w")).alias("_at"))
+    weight = F.array(*[F.lit(float(x)) for x in weights])
+    field = lambda k: F.get(F.col("_w"), k)["field"]
+    held = lambda a, b, i: F.size(F.filter(F.sequence(a, b - 1), lambda k: field(k) == i))
+    several = lambda a, b: sum((held(a, b, i) * F.get(weight, F.lit(i)) for i in range(len(weights))), F.lit(0.0))
+    tf = lambda a, b: F.when(field(a) == field(b - 1), (b - a) * F.get(weight, field(a))).otherwise(several(a, b))
+    terms = F.transform(F.slice("_at", F.lit(1), F.size("_at") - 1), lambda a, k: F.struct(F.get(F.col("_w"), a)["term"].alias("term"), tf(a, F.get(F.col("_at"), k + 1)).alias("tf")))
+    return runs.select("id", F.size("_w").cast("long").alias("length"), terms.alias("terms"), F.lit(True).alias("alive"))
 
 
 def _level(tf: Column, length: Column, mean: float) -> Column:
@@ -93,8 +106,9 @@ def _add(index: Index, gen: int, rows: DataFrame, gone: DataFrame | None, mean:
     new, old = sums(rows), None if gone is None else sums(gone)
     mean = max(1.0, new.length / max(1, new.n)) if mean is None else mean
     posted = _postings(rows, mean)
-    splits = max(1, math.ceil(new.postings / (BUCKETS * FILE_ROWS)))
-    dealt = posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(splits))).sortWithinPartitions("bucket", "term", F.desc("level"), "id")
+    # ranges down to the id: no bucket, and no term, has to fit one task
+    order = ["bucket", "term", F.desc("level"), "id"]
+    dealt = posted.repartitionByRange(max(1, math.ceil(new.postings / FILE_ROWS)), *order).sortWithinPartitions(*order)
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     levels = _levels(posted, 1) if gone is None else _levels(posted, 1).unionByName(_levels(_postings(gone, mean), -1))
     levels.write.mode("overwrite").parquet(at("levels"))

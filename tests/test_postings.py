@@ -86,3 +86,19 @@ def test_odd_rows(spark, tmp_path):
     P.update(empty, spark.createDataFrame([(1, "cat", *[None] * 5, 1), (1, "dog", *[None] * 5, 1), (2, *[None] * 6, 1), (3, "", "!!", None, None, None, None, 1)], SCHEMA))
     assert [r.id for r in P.top(empty, ["dog cat"], 5).collect()] == [1]
     assert empty.read("totals").agg(F.sum("n")).first()[0] == 3
+
+
+def test_no_task_holds_a_whole_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "FILE_ROWS", 100)
+    rows = [(i, "the " * (1 + i % 3), *[None] * 5, 1) for i in range(2000)]
+    index = P.build(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/a", FIELDS)
+    files = [r["count"] for r in index.read("postings").groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 2000 and max(files) <= 300
+
+
+def test_tokens_are_counted_without_a_shuffle_of_their_own(spark):
+    rows = [(1, "b a b", None, "a", None, None, "b"), (2, *[None] * 6)]
+    made = P.forward(spark.createDataFrame(rows, SCHEMA.removesuffix(", other int")), FIELDS, search.BM25_FIELDS)
+    assert {r.id: (r.length, sorted(map(tuple, r.terms)), r.alive) for r in made.collect()} == {1: (5, [("a", 3.0), ("b", 6.0)], True), 2: (0, [], True)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate [") == 1
