@@ -53,7 +53,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is the closing id alone; repeated rows and rows without a doc_id are packed as documents of their own.
     """
     common.small_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, sparing=True)  # the workers serve the other stages too
 
 
 STAGES = [("language", known_language), ("near_copies", one_of_near_copies), ("benchmark", without_benchmark), ("secrets", without_secrets), ("packing", packed)]

@@ -2,7 +2,7 @@
 
 Byte-level BPE first cuts a text into words, each with the single space before it, and then works on each word alone. A cut before
 a single blank that has other characters on both sides is therefore exact, and a word met before needs no second encoding. The
-cache holds at most ``max_words`` words and starts again when it is full.
+cache holds at most ``max_words`` words; when it is full, only those that the texts at hand hold stay.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import numpy as np
 STRETCH = 2_000_000
 #: Characters of the texts that are encoded together; what is new among their words is encoded in one call.
 SLICE_CHARS = 1_000_000
+#: Words of a cache, about 250 bytes each.
+MAX_WORDS = 700_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,7 +28,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class WordTokenizer:
-    def __init__(self, path: str, max_words: int = 700_000):
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,11 +74,11 @@ class WordTokenizer:
         """The ids of each text."""
         cut = [(k, s, self.split(s, not j)) for k, text in enumerate(texts) if text for j, s in enumerate(self.stretches(text)) if s]
         words = [w for _, _, found in cut if found for w in found]
-        new = set(words).difference(self.ids)
+        met = set(words)
+        new = met.difference(self.ids)
         if new:
             if len(self.ids) + len(new) > self.max_words:
-                self.clear()
-                new = set(words)
+                self.ids = {w: self.ids[w] for w in met.difference(new)}
             self.learn(new)
         out: list[list[bytes]] = [[] for _ in texts]
         for k, s, found in cut:
@@ -85,6 +87,6 @@ class WordTokenizer:
 
 
 @memo
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, max_words: int = MAX_WORDS) -> WordTokenizer:
     """One for each Python worker, kept over its tasks."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, max_words)
