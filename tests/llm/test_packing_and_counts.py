@@ -27,6 +27,24 @@ def test_cached_ids_equal_plain_ids(monkeypatch):
         assert ids.tolist() == plain_ids(text)
 
 
+def test_ids_beside_whitespace_of_other_kinds_and_marks(monkeypatch):
+    # a no-break space between blanks is one token with them
+    known = tokens.WordTokenizer(tokens.tokenizer_path(), max_words=60)
+    rng = random.Random(4)
+    spaces = [" ", " \u00a0", "\u00a0", "\t", "\u2003", "\x1c", "\n", "\r"]
+    bits = ["a", "Été", "12", "×", "'s", "²", "日", ",", ".", ";", '"', "?!", ":", "x,", "y.", ", ", ". ", ",\n", "<|endoftext|>", " ", " ", " b", " c"]
+    texts = ["x \u00a0 \u00a0 y", "a, b", "a,, b", "a , b", '"a", b', "a,\nb", "a, \nb", "it's, or", "×, b", "²; b", ", b", "a\n, b", "a,", "a, "]
+    texts += ["".join(rng.choice(bits if rng.random() < 0.9 else spaces) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    wanted = [e.ids for e in known.inner.encode_batch(texts, add_special_tokens=False)]
+    assert wanted[0] == plain_ids(texts[0])
+    for stretch in (tokens.STRETCH, 20):
+        monkeypatch.setattr(tokens, "STRETCH", stretch)
+        for text, ids, found in zip(texts, wanted, known.encode(texts)):
+            assert found.tolist() == ids, text
+        for text, ids in zip(texts[:14], wanted):
+            assert known.encode([text])[0].tolist() == ids, text
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
 def test_lengths(n):
     found = packing.piece_lengths(n)
